@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dedup, secrets, toxicity
+from . import bpe, decontam, near_dedup, secrets, toxicity
 from .common import fold, table
 
 
@@ -16,6 +16,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.Tokenizer(spark)
+    return bpe.digest(tokenizer.encode(table(spark, sf_dir, "documents")), tokenizer)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -33,6 +38,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_near_dedup": op10_near_dedup,
