@@ -150,6 +150,15 @@ def find(
         rows = cut(rows, "decontam")  # one block's tables in a worker at a time
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; all columns are returned, and no row is moved."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others, F.col(text_col).isNull().alias("_null")).alias("row"), text_col)
+    found = find(rows, benchmark, "row", text_col, **how).where(F.size("spans") == 0)
+    text = F.when(~F.col("id._null"), F.col("text")).alias(text_col)
+    return found.select(*(text if c == text_col else F.col("id")[c].alias(c) for c in docs.columns))
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns of :func:`find`'s rows."""
     return found.select(

@@ -34,22 +34,26 @@ from .decontam import words_of
 
 SHINGLE, SIMILARITY, BANDS, TABLES = 5, 0.8, 24, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """32-bit hashes of words, kept for the short ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = xxhash.xxh32_intdigest(word)
+        if len(word) < 64:
+            self[word] = got
+        return got
+
+
+_CACHE = _Hashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """32-bit hashes; equal words have equal hashes in every process."""
     if len(_CACHE) > 500_000:
         _CACHE.clear()
-    cache, out = _CACHE, np.empty(len(words), dtype=np.uint32)
-    for i, word in enumerate(words):
-        got = cache.get(word)
-        if got is None:
-            got = xxhash.xxh32_intdigest(word)
-            if len(word) < 64:
-                cache[word] = got
-        out[i] = got
-    return out
+    return np.fromiter(map(_CACHE.__getitem__, words), dtype=np.uint32, count=len(words))
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:

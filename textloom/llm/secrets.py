@@ -97,6 +97,24 @@ def findings(versions: DataFrame, path_col: str = "doc_id", text_col: str = "tex
     return joined, fresh
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
+    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); other columns and rows without findings stay as they are."""
+    found, _ = findings(docs, id_col, text_col, **how)
+    found = found.where(F.size("findings") > 0).dropDuplicates(["path", "blob"]).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    rows = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    rows = rows.join(found, (F.col(id_col) == F.col("_path")) & (F.col("_own") == F.col("_blob")), "left")
+    text = F.col(text_col)
+
+    def step(state, x):
+        gap = F.substring(text, state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
+        new = F.when(x["start"] >= state["at"], F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"])
+        return F.struct(F.greatest(x["end"], state["at"]).alias("at"), new.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    clean = F.aggregate("_found", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return rows.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(clean)).select(*docs.columns)
+
+
 def _of_kinds(kinds: list[str]):
     return lambda x: x["kind"].isin(kinds)
 
