@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, license_scan, near_dedup, secrets, toxicity
+from . import bpe, decontam, embed_dedup, html_extract, license_scan, near_dedup, quality, secrets, toxicity
 from .common import fold, table
 
 
@@ -16,6 +16,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark)
     return bpe.digest(tokenizer.encode(table(spark, sf_dir, "documents")), tokenizer)
@@ -29,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.digest(embed_dedup.links(table(spark, sf_dir, "embeddings")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,9 +56,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_near_dedup": op10_near_dedup,
@@ -87,4 +99,12 @@ _DECONTAM = f"""with dw as (select doc_id, {_words('text')} w from documents),
     select dw.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated
     from dw left join h using (doc_id) left join n using (doc_id)"""
 
-SQL: dict[str, str] = {"op1_secrets": _secrets_sql(), "op6_decontamination": _DECONTAM}
+_EMBEDDING = """with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings
+      where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l as materialized (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+    r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+    c as (select a vec_id, min(b) low from r group by a), n as (select a vec_id, count(*) n_links from l group by a)
+    select e.vec_id, coalesce(n_links, 0) n_links, least(e.vec_id, coalesce(low, e.vec_id)) component_id, least(e.vec_id, coalesce(low, e.vec_id)) = e.vec_id kept
+    from embeddings e left join c using (vec_id) left join n using (vec_id)"""
+
+SQL: dict[str, str] = {"op7_embedding_dedup": _EMBEDDING, "op1_secrets": _secrets_sql(), "op6_decontamination": _DECONTAM}
