@@ -173,8 +173,8 @@ class Query:
 
     # ---- lines
 
-    def record_pattern(self) -> tuple[s.Rule, s.Pattern, bool]:
-        """The rule of one record, its pattern without the line break, and whether other lines are skipped.
+    def record_rule(self) -> tuple[s.Rule, bool]:
+        """The rule of one record, and whether other lines are skipped.
 
         Raises :class:`native.Cannot` unless the root is a repetition of records of exactly one line each.
         """
@@ -198,16 +198,16 @@ class Query:
         rest = s.Sequence(parts[:-1]) if len(parts) > 2 else parts[0]
         if _within(rest, checker) & {"\r", "\n"}:
             raise native.Cannot("a record can run across lines")
-        return rule, rest, skips
+        return rule, skips
 
     def lines(self, df: DataFrame, column: str = "value", output: str = "record", on_error: str = "fail") -> DataFrame:
         """``df`` holds one line of text a row (batch or stream); the result has one row a record, by native expressions only.
 
         Lines that are no records are dropped where the query skips lines; otherwise ``on_error`` says what becomes of them.
         """
-        rule, pattern, skips = self.record_pattern()
-        low = native.lower(self._checker, rule, pattern)
-        text = F.col(column)
+        rule, skips = self.record_rule()
+        low = native.lower(self._checker, rule)
+        text = F.concat(F.col(column), F.lit("\n"))  # the line break that the source took away
         holds = F.coalesce(low.holds(text), F.lit(False))
         value = low.value(text).cast(shapes.spark_type(low.shape))
         if skips or on_error == "drop":

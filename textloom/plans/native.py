@@ -659,12 +659,10 @@ class Lowered:
     shape: Shape
 
 
-def lower(checker: Checker, rule: s.Rule | None = None, pattern: s.Pattern | None = None) -> Lowered:
-    """Lower the root rule (or ``rule``, with another ``pattern``) over whole texts; :class:`Cannot` says why not."""
+def lower(checker: Checker, rule: s.Rule | None = None) -> Lowered:
+    """Lower the root rule (or ``rule``) over whole texts; :class:`Cannot` says why not."""
     rule = rule or next(r for r in checker.query.rules if r.is_root)
     low = Lowering(checker)
-    if pattern is not None:
-        rule = s.Rule(rule.name, pattern, rule.strict, rule.where, rule.template, rule.start, rule.end)
     low.active.append(rule.name)
     own = low.body(rule.pattern, frozenset({END}), frozenset(), rule.template is None)
     regex = rf"\A{own.regex}\z"
