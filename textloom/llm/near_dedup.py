@@ -228,7 +228,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     member = cut(members.join(centres, "key"), "omh-buckets")
     star = cut(member.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    words = cut(_hashed(rows.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "omh-words")
+    words = cut(_hashed(rows.join(wanted.hint("merge"), "id", "left_semi")).dropDuplicates(["id"]), "omh-words")
     links = cut(_linked(star, words, similarity), "omh-links")
     found = components(links)
 
