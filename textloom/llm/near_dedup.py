@@ -32,7 +32,7 @@ from .common import cut, discard, texts
 from .components import components
 from .decontam import words_of
 
-SHINGLE, SIMILARITY, BANDS, TABLES = 5, 0.8, 24, 2
+SHINGLE, SIMILARITY, BANDS, TABLES = 5, 0.8, 40, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,21 +98,22 @@ def sketch(hashes: np.ndarray, bands: int = BANDS, tables: int = TABLES) -> np.n
     if not len(hashes):
         return np.zeros(0, dtype=np.int64)
     x = labelled(shingles(hashes))
-    keys = np.zeros(bands, dtype=np.uint64)
-    odd = multipliers(bands * tables)
-    at_once = max(1, 2_000_000 // len(x))
+    keys, pairs = np.zeros(bands, dtype=np.uint64), np.empty(bands * tables, dtype=np.uint64)
+    odd = multipliers(bands * tables).astype(np.uint32)
+    short = (x >> np.uint64(32)).astype(np.uint32)
+    at_once = max(1, 60_000 // len(x))  # a block of ranks stays in the processor's cache
     with np.errstate(over="ignore"):
         for begin in range(0, len(odd), at_once):
             own = odd[begin : begin + at_once]
-            ranks = x[None, :] * own[:, None]
+            ranks = short[None, :] * own[:, None]
             rows = np.arange(len(own))
             first = ranks.argmin(axis=1)
-            ranks[rows, first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            ranks[rows, first] = 0xFFFFFFFF
             second = ranks.argmin(axis=1) if len(x) > 1 else first
             low, high = x[np.minimum(first, second)], x[np.maximum(first, second)]
-            for j in range(len(own)):
-                band = (begin + j) // tables
-                keys[band] = (keys[band] * _MIX + low[j]) * _MIX + high[j]
+            pairs[begin : begin + len(own)] = low * _MIX + high
+        for k in range(tables):
+            keys = keys * _MIX + scrambled(pairs[k::tables])
         keys = scrambled(keys + np.arange(1, bands + 1, dtype=np.uint64) * _MIX)
     return keys.view(np.int64)
 
