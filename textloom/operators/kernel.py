@@ -691,8 +691,15 @@ class Kernel:
         expected = " or ".join(listed) + (f", or one of {more} other things" if more else "")
         if size == 0:
             return Problem("loom::input::no_parse", "the text is empty", 0, 0, f"expected {expected}" if expected else None, source="input")
+        related, crossed = (), None
+        begun = [c for (n, _), c in self.calls.items() if n.stop is not None and any(k[2] == far for k in c.edges) and _BREAK.search(text.text[c.at : far].rstrip("\r\n"))]
+        if begun:
+            c = min(begun, key=lambda c: c.at)
+            row = text.row(c.at)
+            related = (("input", c.at, _BREAK.search(text.text, c.at).start(), f"the {'UNTIL' if c.node.repeat.consume else 'UNTILBEFORE'} started here, on line {row}"),)
+            crossed = f"the repetition that started on line {row} was still running; the problem is probably on that line"
         if far >= size:
-            return Problem("loom::input::no_parse", "the text ends too early", size - 1, size, None, f"expected {expected} after this", source="input")
+            return Problem("loom::input::no_parse", "the text ends too early", size - 1, size, crossed, f"expected {expected} after this", source="input", related=related)
         end = text.word_end(far) or text.number_end(far) or far + 1
         m = _BREAK.match(text.text, far)
         end = m.end() if m else end
@@ -700,15 +707,7 @@ class Kernel:
         help = f"the text does not match from the start; found {piece}" if far == 0 else f"the text matched up to here; found {piece}"
         if "LINE" in self.expected and text.column(far) > 1:
             help = "LINE matches whole lines only; for the rest of a line write `ANY UNTILBEFORE NL`, e.g. `ALIAS rest = ANY UNTILBEFORE NL`"
-        related = ()
-        begun = [c for (n, _), c in self.calls.items() if n.stop is not None and any(k[2] == far for k in c.edges) and text.row(c.at) < text.row(far) and _BREAK.search(text.text[c.at : far].rstrip("\r\n"))]
-        if begun:
-            c = min(begun, key=lambda c: c.at)
-            row = text.row(c.at)
-            line_end = _BREAK.search(text.text, c.at).start()
-            related = (("input", c.at, line_end, f"the {'UNTIL' if c.node.repeat.consume else 'UNTILBEFORE'} started here, on line {row}"),)
-            help = f"the repetition that started on line {row} was still running; the problem is probably on that line"
-        return Problem("loom::input::no_parse", "the text does not match", far, end, help, f"expected {expected}" if expected else "unexpected", source="input", related=related)
+        return Problem("loom::input::no_parse", "the text does not match", far, end, crossed or help, f"expected {expected}" if expected else "unexpected", source="input", related=related)
 
 
 def repeated_problem(k: RepeatedKey, severity: str = "warning") -> Problem:

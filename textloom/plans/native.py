@@ -325,13 +325,16 @@ class Lowering:
                 raise Cannot("a separator can be empty")
         else:
             going_on = starts
-        if p.stop is None and p.least != p.most:
+        if p.stop is None and p.most == 1 and p.least == 0:
+            if starts & follow:
+                raise Cannot("what follows an optional part can begin like it")
+        elif p.stop is None and p.least != p.most:
             clash = (going_on if p.least > 0 or p.separator is None else going_on | starts) & follow
             if clash or p.least == 0 and starts & follow:
                 raise Cannot("what follows a repetition can begin like another item")
         if self.checker.empty(p.item) and p.separator is None:
             raise Cannot("an item can be empty")
-        then = going_on | follow | (self.first(p.stop) | {END} if p.stop is not None else frozenset())
+        then = (going_on if p.most != 1 else frozenset()) | follow | (self.first(p.stop) | {END} if p.stop is not None else frozenset())
         single = p.single
         needs = want or bool(names)
         outer = text or (self.group() if needs else 0)

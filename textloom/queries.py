@@ -53,7 +53,7 @@ _fields("bounded_digits", "customer", "c_custkey", "c_name", "TEXT = 'Customer#'
 
 _URL = "regexp_extract(url, '^(.*?)://(.*?)/([a-z]+)/([0-9]+)', {})"
 _fields("url_parts", "pages", "page_id", "url", "TEXT = scheme:(ANY UNTIL '://') host:(ANY UNTIL '/') lang:WORD '/' id:INT 0 TO n ANY AS { 'scheme': scheme, 'host': host, 'lang': lang, 'id': NUM(id) }", ["scheme", "host", "lang", "id"], f"select page_id, {_URL.format(1)} scheme, {_URL.format(2)} host, {_URL.format(3)} lang, cast({_URL.format(4)} as bigint) id from pages where regexp_matches(url, '^.*?://.*?/[a-z]+/[0-9]+')")
-_fields("url_query_opt", "pages", "page_id", "url", "TEXT = path:(ANY UNTILBEFORE ('?' OR '#' OR EOF)) 0 TO 1 ('?' q:(1 TO n ANY UNTILBEFORE ('#' OR EOF))) 0 TO n ANY AS { 'path': path, 'q': q }", ["path", "q"], r"select page_id, regexp_extract(url, '^[^?#]*') path, nullif(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '') q from pages where not regexp_matches(url, '^[^?#]*\?(#|$)')")
+_fields("url_query_opt", "pages", "page_id", "url", "TEXT = path:(ANY UNTILBEFORE ('?' OR '#' OR EOF)) 0 TO 1 ('?' q:(1 TO n ANY UNTILBEFORE ('#' OR EOF))) 0 TO 1 ('#' 0 TO n ANY) AS { 'path': path, 'q': q }", ["path", "q"], r"select page_id, regexp_extract(url, '^[^?#]*') path, nullif(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '') q from pages where not regexp_matches(url, '^[^?#]*\?(#|$)')")
 _fields("url_greedy", "pages", "page_id", "url", "TEXT = l:(1 TO n ANY) '/' r:(0 TO n ANY)", ["l", "r"], "select page_id, regexp_extract(url, '^(.*)/(.*)$', 1) l, regexp_extract(url, '^(.*)/(.*)$', 2) r from pages", engine="kernel")
 _fields("url_lazy", "pages", "page_id", "url", "TEXT = l:(1 TO n LAZY ANY) '/' r:(0 TO n ANY)", ["l", "r"], "select page_id, regexp_extract(url, '^(.*?)/(.*)$', 1) l, regexp_extract(url, '^(.*?)/(.*)$', 2) r from pages", engine="kernel")
 _fields("url_contains", "pages", "page_id", "url", "TEXT = u:(1 TO n ANY) WHERE u CONTAINS 'page=' AS { 'u': u }", ["u"], "select page_id, url u from pages where contains(url, 'page=')")
