@@ -1,4 +1,4 @@
-"""Command line: ``python -m textloom [run] QUERY [INPUT]`` and ``python -m textloom check QUERY [SAMPLE]``.
+"""Command line: ``python -m textloom [run] QUERY [INPUT]`` and ``python -m textloom check QUERY [SAMPLE]``; ``python -m textloom lsp`` serves editors.
 
 ``QUERY`` is a file, or ``-e TEXT`` gives the query itself; ``INPUT`` is a file, ``-`` or nothing for standard input.  Results go to standard output,
 problems to standard error.  Exit codes: 0, 1 for an error, 2 if ``check`` found an ambiguity or a repeated key.
@@ -35,6 +35,10 @@ def say(problems: list[Problem], query: str, text: str | None) -> None:
 
 def main(arguments: list[str] | None = None) -> int:
     arguments = sys.argv[1:] if arguments is None else arguments
+    if arguments == ["lsp"]:
+        from .editor import main as serve
+
+        return serve()
     if not arguments or arguments[0] not in ("run", "check", "-h", "--help"):
         arguments = ["run", *arguments]
     parser = argparse.ArgumentParser(prog="textloom")
