@@ -8,8 +8,8 @@ that agree in a band are candidates.  A candidate is a link if the edit distance
 
 Copies (the same words) collapse to one representative before anything else.  Of each bucket every member is first
 compared with the bucket's smallest member, which is linear however large the bucket is; after the links found so are
-joined to groups, the members of a bucket that are still in different groups are all compared, so that no link between
-candidates is lost to the star.  The result has one row per input row: id, the group's smallest id, and whether the row
+joined to groups, the members of a bucket that are still in different groups are all compared, block by block, so that no
+link between candidates is lost to the star.  The result has one row per input row: id, the group's smallest id, and whether the row
 is that one.
 
 Words: A-Z lower-cased, runs of a-z, 0-9 and non-ASCII characters.  Null and empty texts (and texts without words) are
@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -219,6 +220,57 @@ def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInArrow(verify, pairs.select("a", "b").schema)
 
 
+BLOCK, BLOCK_BYTES = 512, 32_000_000
+
+
+def across(pdf: pd.DataFrame, same: bool, similarity: float) -> pd.DataFrame:
+    """Links between different groups among documents that share a bucket; ``same``: the two blocks are one."""
+    pdf = pdf.sort_values(["part", "rep"])
+    kinds, at = np.unique(np.concatenate(pdf["keys"].tolist()), return_inverse=True)
+    row = np.repeat(np.arange(len(pdf)), [len(k) for k in pdf["keys"]])
+    has = np.zeros((len(pdf), len(kinds)), dtype=np.float32)
+    has[row, at] = 1
+    group, part = pdf["c"].to_numpy(), pdf["part"].to_numpy()
+    wanted = (has @ has.T > 0) & (group[:, None] != group[None, :])
+    if not same:
+        wanted &= part[:, None] != part[None, :]
+    reps = pdf["rep"].to_numpy()
+    x = [shingles(np.frombuffer(w, np.uint32)) for w in pdf["words"]]
+    bags = [np.sort(labelled(y)) if len(y) else y for y in x]
+    out = []
+    for i in np.flatnonzero(wanted.any(axis=1)):
+        for j in np.flatnonzero(wanted[i, i + 1 :]) + i + 1:
+            longer = max(len(x[i]), len(x[j]))
+            at = np.minimum(np.searchsorted(bags[j], bags[i]), len(bags[j]) - 1) if len(bags[j]) else np.zeros(0, np.int64)
+            if longer - int((bags[j][at] == bags[i]).sum() if len(at) else 0) <= int((1 - similarity) * longer + 1e-9) and similar(x[i], x[j], similarity):
+                out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
+
+
+def _across(member: DataFrame, found: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between documents that share a bucket (key, rep) but are not yet in one group.
+
+    Groups that share buckets are gathered; the documents of a gathering are dealt into blocks, and each pair of blocks is a task,
+    so that rows grow with the blocks, not with the pairs, and no gathering meets in one task.
+    """
+    kind = member.schema["rep"].dataType.simpleString()
+    own = cut(member.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "omh-own")
+    mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "x")
+    own = cut(own.join(mixed, "key"), "omh-mixed")
+    gathered = components(own.select(F.col("x").alias("a"), F.col("c").alias("b")).distinct())
+    docs = own.groupBy("rep", "c").agg(F.collect_list("key").alias("keys")).join(words.withColumnRenamed("id", "rep"), "rep")
+    docs = cut(docs.join(gathered.select(F.col("v").alias("c"), F.col("component").alias("g")), "c"), "omh-gathered")
+    sizes = docs.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("words")) / BLOCK_BYTES)).alias("parts"))
+    dealt = docs.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select("g", "i", "j", "part", "rep", "c", "keys", "words")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return across(pdf, key[1] == key[2], similarity)
+
+    return dealt.groupBy("g", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(id, class_id, kept)`` for every row of ``docs``."""
     rows = texts(docs, id_col, text_col).where("id is not null")
@@ -233,19 +285,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     links = cut(_linked(star, words, similarity), "omh-links")
     found = components(links)
 
-    own = member.select("key", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    own = cut(own, "omh-own")
-    mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    own = own.join(mixed, "key", "left_semi")
-    a, b = (own.select("key", F.col("rep").alias(k), F.col("c").alias("c" + k)) for k in "ab")
-    rest = a.join(b, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_linked(rest, words, similarity), "omh-more")
+    more = cut(_across(member.select("key", "rep"), found, words, similarity), "omh-more")
     if not more.isEmpty():
         discard(found)
         found = components(links.unionByName(more))
     classes = reps.select("copy", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("copy", F.coalesce("component", "rep").alias("class_id"))
     out = cut(sketched.select("id", "copy").join(classes, "copy").select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")), "omh-classes")
-    for old in (sketched, reps, member, star, words, links, own, more, found):
+    for old in (sketched, reps, member, star, words, links, more, found):
         discard(old)
     return out
 
