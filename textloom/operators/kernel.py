@@ -240,8 +240,11 @@ class Kernel:
 
     def options_at(self, call: _Call, config: tuple, end: int, live: set) -> list:
         """What can follow ``config``, most preferred first; None stands for ending here."""
+        edges = call.edges[config]
+        if len(edges) <= 1 and config not in call.accepts:
+            return edges if edges and edges[0][2] in live else []
         by_order: dict[int, list] = {}
-        for e in call.edges[config]:
+        for e in edges:
             if e[2] in live:
                 by_order.setdefault(e[0], []).append(e)
         out: list = []
@@ -556,7 +559,7 @@ class Kernel:
             depth += node_above[0].node.kind == "rule"
             node_above = node_above[2]
         real = [p for p in tree.parts if p.role != "stop"]
-        if call.node.kind != "repeat":
+        if call.node.kind != "repeat" and len(call.node.branches) > 1:
             for config in self.starts(call, live)[tree.branch_index(self.starts(call, live)) + 1 :]:
                 report = self.try_path(call, tree, above, live, [], config, (tree.i, tree.j), (tree.i, tree.j), "branch_order", depth)
                 if report is not None:
@@ -565,6 +568,9 @@ class Kernel:
         for n in range(len(real) + 1):
             options = self.options_at(call, config, tree.j, live)
             self.spend(len(options))
+            if len(options) == 1 and n < len(real):
+                config = options[0][2]
+                continue
             at = next((k for k, o in enumerate(options) if (o is None) == (n == len(real)) and (o is None or (o[1], o[3]) == (real[n].j, real[n].step))), None)
             if at is None:
                 break
