@@ -19,6 +19,7 @@ class Step:
     capture: str | None = None
     labelled: bool = False
     described: str = ""
+    run: Callable | None = None  # of characters up to a stop, taken as one terminal: where the stop begins
 
     @property
     def lazy(self) -> bool:
@@ -53,7 +54,9 @@ class Node:
 
 
 class Grammar:
-    def __init__(self, query: s.Query):
+    def __init__(self, query: s.Query, fuse: bool = True):
+        """``fuse``: take characters up to a stop in one step where nobody asks for them one by one."""
+        self.query, self.fuse, self._plain = query, fuse, None
         self.rules = {r.name: Node("rule", r.name, rule=r) for r in query.rules}
         self.aliases = {a.name: Node("alias", a.name) for a in query.aliases}
         self.patterns = {a.name: a.pattern for a in query.aliases}
@@ -64,13 +67,45 @@ class Grammar:
         for a in query.aliases:
             self.aliases[a.name].branches = self.body(a.pattern)
 
+    @property
+    def plain(self) -> Grammar:
+        """The same grammar character by character, which can explain where a text went wrong."""
+        if self._plain is None:
+            self._plain = Grammar(self.query, False) if self.fuse else self
+        return self._plain
+
     def body(self, p: s.Pattern) -> list[list[Step]]:
         if isinstance(p, s.Choice):
             return [self.parts(b) for b in p.branches]
         return [self.parts(p)]
 
     def parts(self, p: s.Pattern) -> list[Step]:
-        return [self.step(x) for x in (p.parts if isinstance(p, s.Sequence) else (p,))]
+        parts = p.parts if isinstance(p, s.Sequence) else (p,)
+        return [self.fused(x) if len(parts) > 1 and self.fusible(x) else self.step(x) for x in parts]
+
+    def fusible(self, p: s.Pattern) -> bool:
+        if not self.fuse or not isinstance(p, s.Repeat) or p.stop is None or p.least or p.most is not None or p.separator or p.skipping:
+            return False
+        item = p.item
+        while isinstance(item, s.Reference) and item.name in self.patterns:
+            item = self.patterns[item.name]
+        return isinstance(item, s.Primitive) and item.kind == "ANY"
+
+    def fused(self, p: s.Repeat) -> Step:
+        stop = self.stop(p.stop)
+        literal = p.stop.text if isinstance(p.stop, s.Literal) and not p.stop.any_case else None
+
+        def begins(text, i):
+            if literal is not None:
+                at = text.text.find(literal, i)
+                return None if at < 0 else at
+            return next((j for j in range(i, len(text.text) + 1) if stop(text, j)), None)
+
+        def match(text, i):
+            at = begins(text, i)
+            return None if at is None else max(stop(text, at)) if p.consume else at
+
+        return Step(match, "run", described=s.show_pattern(p.stop, True), run=begins)
 
     def step(self, p: s.Pattern) -> Step:
         if isinstance(p, s.Literal):
@@ -82,7 +117,12 @@ class Grammar:
                 return Step(node=self.rules[p.name], capture=p.name)
             return Step(node=self.aliases[p.name])
         if isinstance(p, s.Label):
-            inner = Step(node=Node("group", branches=self.body(p.inner))) if isinstance(p.inner, (s.Label, s.Sequence, s.Choice)) else self.step(p.inner)
+            if self.fusible(p.inner):
+                inner = self.fused(p.inner)
+            elif isinstance(p.inner, (s.Label, s.Sequence, s.Choice)):
+                inner = Step(node=Node("group", branches=self.body(p.inner)))
+            else:
+                inner = self.step(p.inner)
             inner.capture, inner.labelled = p.name, True
             return inner
         if isinstance(p, s.Repeat):

@@ -184,8 +184,10 @@ class Kernel:
         if step.match is not None:
             end = step.match(self.text, at)
             if end is None:
-                self.miss(at, step.described, call)
+                self.miss(len(self.text.text) if step.run else at, step.described, call)
             else:
+                if step.run:
+                    self.spend(1 + (end - at) // 8)
                 self.link(call, config, order, end, to, step, role)
             return
         child = self.call(step.node, at)
@@ -373,6 +375,8 @@ class Kernel:
                 return self.text.row(p.i)
             if p.step.kind == "COL":
                 return self.text.column(p.i)
+            if p.step.run:
+                return self.text.text[p.i : p.step.run(self.text, p.i)]
             return self.text.text[p.i : p.j]
         kind = p.tree.node.kind
         if kind == "rule":
@@ -508,6 +512,9 @@ class Kernel:
         size = len(self.text.text)
         root = self.recognise()
         if size not in root.ends:
+            if self.grammar.fuse:
+                plain = Kernel(self.grammar.plain, self.text.text, self.options)
+                raise RunError([plain.no_parse(plain.recognise())])
             raise RunError([self.no_parse(root)])
         try:
             tree = self.best(self.grammar.root, 0, size, 0)
@@ -630,6 +637,8 @@ class Kernel:
             t = work.pop()
             if t.node.stop is not None and _BREAK.search(self.text.text[t.i : t.inner_end].rstrip("\r\n")):
                 return True
+            if any(p.step is not None and p.step.run and _BREAK.search(self.text.text[p.i : p.step.run(self.text, p.i)].rstrip("\r\n")) for p in t.parts):
+                return True
             work.extend(p.tree for p in t.parts if p.tree is not None and p.role in ("part", "item"))
         return False
 
