@@ -1,10 +1,10 @@
 """Byte-level BPE in DataFrame operations: ranked merges folded over the bytes of distinct words.
 
-The rank map is a literal of the session (a SQL variable): an array of buckets by hash of the piece, so that looking a piece up
-costs one array access.  A text is split by the tokenizer's pattern.  Words are counted over all documents; the most frequent, as many as
-``FREQUENT`` at most and the same power-of-two count for all, are folded once and their ids become a second bounded
-literal; a rarer word is folded where it stands.  The fold is the same expression for both: the adjacent pair of pieces whose
-bytes have the lowest rank is merged, the leftmost first, until no pair has a rank.
+The rank map is a literal of the session (a SQL variable): the ranks of all pairs of pieces that join to a piece, laid out so that looking
+one up costs three array accesses.  A text is split by the tokenizer's pattern.  Words are counted over all documents; the most frequent, all those
+of a count that leaves ``FREQUENT`` at most, are folded once and their ids become a second bounded
+literal; a rarer word is folded where it stands.  The fold is the same expression for both: of the array of a word's bytes the
+adjacent pieces with the lowest rank are merged, the leftmost first, until no two have a rank.
 
 Decoding concatenates the pieces of the ids (as hex digits, which SQL can join, then once to binary).
 
@@ -15,8 +15,12 @@ break costs the square of its length, as merging is repeated until nothing merge
 from __future__ import annotations
 
 import base64
+import re
+import zlib
+from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT = 1 << 19
+FREQUENT, COUNTS = 1 << 19, 4096
 #: Letters and numbers of Unicode 16, which the tokenizer's pattern knows, that Unicode 13, which Java's classes know, lacks.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3
@@ -40,10 +44,14 @@ def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
     """The tokenizer's pattern with Java's classes in place of its own."""
 
     def ranges(text: str) -> str:
-        return "".join("-".join(f"\\x{{{x}}}" for x in part.split("-")) for part in text.split())
+        own = "".join("-".join(f"\\x{{{x}}}" for x in part.split("-")) for part in text.split())
+        return rf"[\x{{870}}-\x{{3FFFF}}&&[{own}]]"  # one comparison settles the common characters
 
     own = {r"\p{L}": r"\p{L}" + ranges(LETTERS), r"\p{N}": r"\p{N}" + ranges(NUMBERS), r"\s": r"\p{IsWhite_Space}"}
     other = "".join(own.values())
+    endings = pattern.split("| ?", 1)[0]
+    if re.fullmatch(r"'\w+(\|'\w+)*", endings):  # branches that begin alike become one, in the same order
+        pattern = "'(?:" + endings.replace("'", "") + ")" + pattern[len(endings) :]
     out = pattern.replace(r"[^\s\p{L}\p{N}]", "\0")
     out = out.replace(r"\S", f"[^{own[r'\s']}]")
     for name in own:
@@ -82,41 +90,108 @@ class Literal:
         return F.get(F.filter(bucket, lambda x: x["key"] == key), F.lit(0))["value"]
 
 
-def fold(word: Column, rank) -> Column:
-    """The ids of ``word`` (binary, not empty): pieces of one byte, merged by rank."""
-
-    def merged(pieces: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: rank(F.concat(F.get(pieces, i - 1), F.get(pieces, i))))
-
-        def at(p: Column) -> Column:
-            one = F.array(F.concat(F.get(pieces, p - 1), F.get(pieces, p)))
-            return F.struct(F.concat(F.slice(pieces, F.lit(1), p - 1), one, F.slice(pieces, p + 2, F.size(pieces))).alias("pieces"), F.lit(False).alias("done"))
-
-        stop = F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))
-        found = let(pairs, lambda r: let(F.array_position(r, F.array_min(r)).cast("int"), lambda p: F.when(p > 0, at(p)).otherwise(stop)))
-        return F.when(F.size(pieces) > 1, found).otherwise(stop)
-
-    size = F.length(word)
-    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.struct(single.alias("pieces"), F.lit(False).alias("done"))
-    last = F.aggregate(F.sequence(F.lit(1), size), start, lambda s, _: F.when(s["done"], s).otherwise(merged(s["pieces"])))
-    return let(rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(last["pieces"], rank)))
+def _variable(spark: SparkSession, name: str, values, kind: str) -> Column:
+    """A fixed array as a session variable, which plans hold as a literal."""
+    import pyarrow as pa
+
+    own = pa.array([values], pa.list_({"int": pa.int32(), "string": pa.string()}[kind]))
+    spark.createDataFrame(pa.table({"v": own})).createOrReplaceTempView(f"{name}_view")
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} array<{kind}>")
+    spark.sql(f"SET VAR {name} = (SELECT v FROM {name}_view)")
+    spark.catalog.dropTempView(f"{name}_view")
+    return F.expr(name)
+
+
+@lru_cache(2)
+def rank_table(path: str) -> tuple[list[str], int, list[int], list[int], list[int], list[int]]:
+    """What the fold needs of a rank file.
+
+    The pieces as hex digits by id; a modulus at which the CRCs of the single bytes differ, and the bytes' ids by it; and the ranks of all pairs of
+    pieces that join to a piece, by row displacement: the rank of (a, b) stands at ``shift[a] + b`` if ``owner`` is ``a`` there.
+    """
+    ranks = load(path)
+    assert sorted(ranks.values()) == list(range(len(ranks))), "ranks are 0, 1, 2, ..."
+    pieces = [b""] * len(ranks)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    crcs = [zlib.crc32(bytes([k])) for k in range(256)]
+    modulus = next(m for m in range(256, 100_000) if len({c % m for c in crcs}) == 256)
+    singles = [-1] * modulus
+    for k, c in enumerate(crcs):
+        singles[c % modulus] = ranks[bytes([k])]
+    rows: dict[int, dict[int, int]] = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                rows.setdefault(left, {})[right] = rank
+    shift = [0] * len(ranks)
+    size = 3 * len(ranks) + 8 * sum(map(len, rows.values()))
+    owner, value = np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
+    free, hint = owner < 0, {}
+    for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        rights = np.fromiter(row, dtype=np.int64)
+        begin = hint.get(len(row).bit_length(), 0)  # rows of about this size did not fit before
+        while True:  # the first place where all of the row's entries are free
+            starts = np.arange(begin, begin + 512)
+            fits = free[starts[:, None] + rights].all(axis=1)
+            if fits.any():
+                break
+            begin += 512
+        at = int(starts[np.argmax(fits)])
+        hint[len(row).bit_length()] = max(0, at - 64)
+        shift[left] = at
+        owner[at + rights], value[at + rights], free[at + rights] = left, np.fromiter(row.values(), dtype=np.int32), False
+    last = int(np.flatnonzero(~free).max(initial=0)) + 1
+    return [x.hex().upper() for x in pieces], modulus, singles, shift, owner[:last].tolist(), value[:last].tolist()
+
+
+class Ranks:
+    """The rank map of a tokenizer as literals, and the fold over them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        pieces, self.modulus, singles, shift, owner, value = rank_table(path)
+        self.pieces = _variable(spark, "textloom_pieces", pieces, "string")
+        self.singles, self.shift, self.owner, self.value = (_variable(spark, f"textloom_{n}", v, "int") for n, v in (("singles", singles), ("shift", shift), ("owner", owner), ("value", value)))
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """The rank of two pieces joined, or null."""
+        at = F.get(self.shift, a) + b
+        return F.when(F.get(self.owner, at) == a, F.get(self.value, at))
+
+    def fold(self, word: Column) -> Column:
+        """The ids of ``word`` (binary, not empty): its bytes, merged by rank, the leftmost of the lowest first.
+
+        The ids stand between two marks (-1) that pair with nothing; beside them stand the ranks of all neighbours, and a merge looks up two of them anew.
+        """
+        size = F.length(word)
+        byte = lambda i: F.get(self.singles, (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int"))
+        mark = F.array(F.lit(-1))
+        ids = F.concat(mark, F.transform(F.sequence(F.lit(1), size), byte), mark)
+        begin = let(ids, lambda x: F.struct(x.alias("ids"), F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: self.rank(F.get(x, i), F.get(x, i + 1))).alias("ranks")))
+
+        def merge(s: Column, p: Column) -> Column:
+            new, n = F.get(s["ranks"], p - 1), F.size(s["ids"])
+            around = F.array(self.rank(F.get(s["ids"], p - 2), new), self.rank(new, F.get(s["ids"], p + 1)))
+            return F.struct(
+                F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(new), F.slice(s["ids"], p + 2, n)).alias("ids"),
+                F.concat(F.slice(s["ranks"], F.lit(1), p - 2), around, F.slice(s["ranks"], p + 2, n)).alias("ranks"),
+            )
+
+        def step(s: Column, _: Column) -> Column:
+            place = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")
+            return let(place, lambda p: F.when(p.isNull(), s).otherwise(merge(s, p)))
+
+        done = F.aggregate(F.sequence(F.lit(1), size), begin, step)["ids"]
+        return let(done, lambda x: F.slice(x, F.lit(2), F.size(x) - 2))
 
 
 class Tokenizer:
     """Encodes and decodes with the ranks of a file that the driver reads."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, pattern: str = public_tokenizers.PATTERN, frequent: int = FREQUENT):
-        ranks = load(path or public_tokenizers.path(RANKS))
         self.spark, self.frequent, self.pattern = spark, frequent, java_pattern(pattern)
-        rows = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "key binary, value int")
-        self.rank = Literal(rows, "textloom_ranks", 1 << 16)
-        pieces = rows.agg(F.sort_array(F.collect_list(F.struct("value", F.hex("key").alias("piece")))).alias("all"))
-        pieces.select(F.transform("all", lambda x: x["piece"]).alias("v")).createOrReplaceTempView("textloom_pieces_view")
-        spark.sql("DECLARE OR REPLACE VARIABLE textloom_pieces array<string>")
-        spark.sql("SET VAR textloom_pieces = (SELECT v FROM textloom_pieces_view)")
-        spark.catalog.dropTempView("textloom_pieces_view")
-        assert sorted(ranks.values()) == list(range(len(ranks))), "ranks are 0, 1, 2, ..."
+        self.ranks = Ranks(spark, path or public_tokenizers.path(RANKS))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -125,21 +200,22 @@ class Tokenizer:
         """``(id, text, ids)`` for every row."""
         rows = texts(docs, id_col, text_col)
         counted = cut(rows.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count(), "bpe-words")
-        by_size = counted.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect()  # 64 rows at most
-        least, total = 64, 0
-        for power, n in by_size:
-            if total + n > self.frequent:
+        n = F.when(F.col("count") < COUNTS, F.col("count")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("count"))).cast("long"))
+        by_count = counted.groupBy(n.alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # COUNTS + 64 rows at most
+        least, total = 1 << 62, 0
+        for n, words in by_count:
+            if total + words > self.frequent:
                 break
-            least, total = power, total + n
-        chosen = counted.where(F.col("count") >= F.lit(2.0) ** least).select("word")
-        known = Literal(chosen.select(F.col("word").alias("key"), fold(F.col("word").cast("binary"), self.rank).alias("value")), "textloom_frequent", max(16, 1 << (total.bit_length())))
+            least, total = n, total + words
+        chosen = counted.where(F.col("count") >= least).select("word")
+        known = Literal(chosen.select(F.col("word").alias("key"), self.ranks.fold(F.col("word").cast("binary")).alias("value")), "textloom_frequent", max(16, 1 << (total.bit_length())))
         discard(counted)
-        ids = F.flatten(F.transform(self.words(F.col("text")), lambda w: F.coalesce(known(w), fold(w.cast("binary"), self.rank))))
+        ids = F.flatten(F.transform(self.words(F.col("text")), lambda w: F.coalesce(known(w), self.ranks.fold(w.cast("binary")))))
         return rows.select("id", "text", ids.alias("ids"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(F.expr("textloom_pieces"), i)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.ranks.pieces, i)), ""))
 
 
 def digest(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id") -> DataFrame:
