@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         for old in (edges, labels, parent):
             discard(old)
         edges, labels = then, new
+    discard(edges)
     if labels is None:
         kind = links.schema["a"].dataType
         return links.sparkSession.createDataFrame([], "v {0}, component {0}".format(kind.simpleString()))

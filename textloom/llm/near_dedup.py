@@ -13,7 +13,7 @@ link between candidates is lost to the star.  The result has one row per input r
 is that one.
 
 Words: A-Z lower-cased, runs of a-z, 0-9 and non-ASCII characters.  Null and empty texts (and texts without words) are
-copies of each other.  Rows of equal id are one document if their words are equal.  Ids must not be null: null ids are dropped.
+copies of each other.  An id names one document: rows of equal id must hold the same words.  Rows with a null id are dropped.
 """
 
 from __future__ import annotations
@@ -247,19 +247,20 @@ def across(pdf: pd.DataFrame, same: bool, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
 
 
-def _across(member: DataFrame, found: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _across(member: DataFrame, found: DataFrame, words: DataFrame, similarity: float, cuts: list[DataFrame]) -> DataFrame:
     """Links (a, b) between documents that share a bucket (key, rep) but are not yet in one group.
 
     Groups that share buckets are gathered; the documents of a gathering are dealt into blocks, and each pair of blocks is a task,
-    so that rows grow with the blocks, not with the pairs, and no gathering meets in one task.
+    so that rows grow with the blocks, not with the pairs, and no gathering meets in one task.  ``cuts`` takes what to discard afterwards.
     """
     kind = member.schema["rep"].dataType.simpleString()
     own = cut(member.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "omh-own")
     mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "x")
-    own = cut(own.join(mixed, "key"), "omh-mixed")
-    gathered = components(own.select(F.col("x").alias("a"), F.col("c").alias("b")).distinct())
-    docs = own.groupBy("rep", "c").agg(F.collect_list("key").alias("keys")).join(words.withColumnRenamed("id", "rep"), "rep")
+    crossing = cut(own.join(mixed, "key"), "omh-mixed")
+    gathered = components(crossing.select(F.col("x").alias("a"), F.col("c").alias("b")).distinct())
+    docs = crossing.groupBy("rep", "c").agg(F.collect_list("key").alias("keys")).join(words.withColumnRenamed("id", "rep"), "rep")
     docs = cut(docs.join(gathered.select(F.col("v").alias("c"), F.col("component").alias("g")), "c"), "omh-gathered")
+    cuts += [own, crossing, gathered, docs]
     sizes = docs.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("words")) / BLOCK_BYTES)).alias("parts"))
     dealt = docs.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
@@ -285,13 +286,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     links = cut(_linked(star, words, similarity), "omh-links")
     found = components(links)
 
-    more = cut(_across(member.select("key", "rep"), found, words, similarity), "omh-more")
+    cuts: list[DataFrame] = []
+    more = cut(_across(member.select("key", "rep"), found, words, similarity, cuts), "omh-more")
     if not more.isEmpty():
         discard(found)
         found = components(links.unionByName(more))
     classes = reps.select("copy", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("copy", F.coalesce("component", "rep").alias("class_id"))
     out = cut(sketched.select("id", "copy").join(classes, "copy").select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")), "omh-classes")
-    for old in (sketched, reps, member, star, words, links, more, found):
+    for old in (sketched, reps, member, star, words, links, more, found, *cuts):
         discard(old)
     return out
 
