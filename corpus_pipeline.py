@@ -35,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tokenizer = bpe.Tokenizer(spark)
+    tokenizer = bpe.Tokenizer(spark, frequent=1 << 16)  # a smaller literal, as the other stages share the driver's memory
     encoded = tokenizer.encode(docs)
     return encoded.select(
         F.col("id").alias("doc_id"),

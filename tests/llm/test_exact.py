@@ -141,7 +141,7 @@ def test_bpe(spark, encoding):
     given = [*EDGES[:5], "a" * 400, " a   b\n\n c  ", "<|endoftext|> x's we'll", "日本語のテキスト。", "\U00031350\U00010570x ࡰ", "1234 ٣٤ ½ Ⅷ", "é ‍😀👍🏽", "\x00\x01\x85\t\tx \r\n", "the cat sat on the mat " * 30, "the"]
     given += given[-2:]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").selectExpr("*", "1 ids", "2 word")
-    for frequent in (1 << 19, 4):
+    for frequent in (bpe.FREQUENT, 4):
         tokenizer = bpe.Tokenizer(spark, frequent=frequent)
         encoded = tokenizer.encode(df)
         got = encoded.select("id", "ids", tokenizer.decode(encoded["ids"]).alias("back")).collect()
