@@ -222,3 +222,20 @@ def test_vectors(spark):
         if not how:
             assert {n: (r.n_links, r.component_id, r.kept) for n, r in got.items()} == {n: (len(links.get(n, ())), low[n], low[n] == n) for n, _ in rows}
     assert embed_dedup.digest(embed_dedup.links(df.limit(0))).count() == 0
+
+
+def test_vectors_of_a_large_group(spark):
+    """A third of the rows are distinct near copies; a pivot inside the group must not split it, however many pivots there are."""
+    rng = np.random.default_rng(5)
+    n, d = 2400, 64
+    centre = rng.normal(size=d)
+    x = rng.normal(size=(n, d))
+    x[: n // 3] = centre + 0.29 * rng.normal(size=(n // 3, d))
+    x[n // 3 : n // 2] = rng.normal(size=d) + 0.36 * rng.normal(size=(n // 2 - n // 3, d))  # only a part of these pairs are links
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    for how in ({"list_size": 40}, {"list_size": 40, "block": 100}):
+        got = embed_dedup.links(df, **how).orderBy("id").collect()
+        assert [r.n_links for r in got] == wanted
+        assert {r.component_id for r in got[: n // 3]} == {0}

@@ -1,7 +1,13 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A bounded sample of vectors serves as pivots (at most ``PIVOTS``, in order of a hash of the vector; the bound is a parameter).  Every vector is
-described by its ``nearest`` most similar pivots in order, and stands in the inverted list of each of them.  Two vectors are
+Pivots are taken from a bounded sample of vectors (at most ``PIVOTS``, in order of a hash of the vector; the bound is a parameter); a sampled
+vector within cosine ``APART`` of a pivot already taken is none, but marks that pivot as dense.
+
+A vector within ``APART`` of a dense pivot is covered, and owned by the nearest of them.  It is compared with every vector that can be a
+link of it by the triangle inequality of angles, block by block, so links with a covered end are complete however large the dense region is; a pair of
+two owners is compared in the list of the lower pivot only.
+
+Every other vector is described by its ``nearest`` most similar pivots in order, and stands in the inverted list of each of them.  Two vectors are
 candidates if they share ``shared`` or more of these pivots; a candidate is verified by its cosine in double precision.  The number of
 pivots grows with the table so that lists keep about ``LIST`` vectors; a longer list is dealt into blocks, and each pair of blocks
 is a task of its own, so no list meets in one task.  A pair is counted in the list of its first shared pivot only.
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, discard
 from .components import components
 
-COSINE, PIVOTS, NEAREST, SHARED, LIST, BLOCK = 0.9, 4096, 8, 2, 1500, 1024
+COSINE, PIVOTS, NEAREST, SHARED, LIST, BLOCK, APART = 0.9, 4096, 8, 2, 1500, 1024, 0.8
+COVER = 1 << 24  # numbers of the dense pivots' own lists begin here
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
@@ -59,6 +66,33 @@ def described(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(-np.round(x @ pivots.T, 12), axis=1, kind="stable")[:, :nearest].astype(np.int32)
 
 
+def spread(x: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of ``x`` that are pivots, and which of these are dense."""
+    taken, dense, pivots = [], [], np.empty_like(x)
+    for i, own in enumerate(x):
+        like = pivots[: len(taken)] @ own
+        if len(like) and like.max() >= apart:
+            dense[int(like.argmax())] = True
+        else:
+            pivots[len(taken)] = own
+            taken.append(i)
+            dense.append(False)
+    return np.array(taken, dtype=np.int64), np.array(dense, dtype=bool)
+
+
+def covered(x: np.ndarray, pivots: np.ndarray, dense: np.ndarray, cosine: float, apart: float) -> list[tuple[int, list[int]]]:
+    """For each row of ``x``: its owner (or -1), and the dense pivots in whose lists it is a guest."""
+    numbers = np.flatnonzero(dense)
+    if not len(numbers):
+        return [(-1, [])] * len(x)
+    like = np.round(x @ pivots[numbers].T, 12)
+    best = like.argmax(axis=1)
+    owner = np.where(like[np.arange(len(x)), best] >= apart, numbers[best], -1)
+    reach = math.cos(min(math.pi, math.acos(max(-1.0, min(1.0, apart))) + math.acos(max(-1.0, min(1.0, cosine))))) - 1e-9
+    guest = (like >= reach) & ((owner[:, None] < 0) | (numbers[None, :] < owner[:, None]))
+    return [(int(own), numbers[g].tolist()) for own, g in zip(owner, guest, strict=True)]
+
+
 def joined(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id reachable over ``linked`` (symmetric, boolean), for each row."""
     labels = np.arange(len(ids))
@@ -79,12 +113,15 @@ def compare(pdf: pd.DataFrame, pivot: int, same: bool, cosine: float, shared: in
     for size in sorted(pdf["vector"].str.len().unique()):
         own = pdf[pdf["vector"].str.len() == size].sort_values(["part", "id"])
         x, ids, many = unit(own["vector"].tolist()), own["id"].to_numpy(), own["many"].to_numpy(dtype=np.int64)
-        lists = np.vstack(own["pivots"].tolist())
-        kinds, at = np.unique(lists, return_inverse=True)
-        has = np.zeros((len(own), len(kinds)), dtype=np.float32)
-        has[np.arange(len(own))[:, None], at.reshape(lists.shape)] = 1
-        before = has[:, kinds < pivot]
-        linked = (has @ has.T >= shared) & (before @ before.T == 0)
+        if pivot >= COVER:
+            linked = np.ones((len(own), len(own)), dtype=bool)
+        else:
+            lists = np.vstack(own["pivots"].tolist())
+            kinds, at = np.unique(lists, return_inverse=True)
+            has = np.zeros((len(own), len(kinds)), dtype=np.float32)
+            has[np.arange(len(own))[:, None], at.reshape(lists.shape)] = 1
+            before = has[:, kinds < pivot]
+            linked = (has @ has.T >= shared) & (before @ before.T == 0)
         if not same:
             part = own["part"].to_numpy()
             linked &= part[:, None] != part[None, :]
@@ -99,7 +136,7 @@ def compare(pdf: pd.DataFrame, pivot: int, same: bool, cosine: float, shared: in
 
 def links(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, nearest: int = NEAREST,
-    shared: int = SHARED, most_pivots: int = PIVOTS, list_size: int = LIST, block: int = BLOCK,
+    shared: int = SHARED, most_pivots: int = PIVOTS, list_size: int = LIST, block: int = BLOCK, apart: float = APART,
 ) -> DataFrame:
     """``(id, n_links, component_id)`` for every row."""
     spark = vectors.sparkSession
@@ -109,35 +146,45 @@ def links(
     n = distinct.count()
     wanted = min(most_pivots, max(32, math.ceil(nearest * n / list_size)))
     sample = [bytes(r["vector"]) for r in distinct.orderBy(F.xxhash64("vector"), "id").select("vector").limit(wanted).collect()]
-    by_size = {size: unit([v for v in sample if len(v) == size]) for size in {len(v) for v in sample}}
+    by_size = {}
+    for size in {len(v) for v in sample}:
+        x = unit([v for v in sample if len(v) == size])
+        taken, dense = spread(x, apart)
+        by_size[size] = x[taken], dense
     sent = spark.sparkContext.broadcast(by_size)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_pylist()
-            out: list = [[0] * min(nearest, shared)] * len(raw)  # a dimension without pivots: all share the first lists
-            for size in {len(v) for v in raw}:
-                if size in sent.value:
-                    where = [i for i, v in enumerate(raw) if len(v) == size]
-                    found = described(unit([raw[i] for i in where]), sent.value[size], nearest)
-                    if found.shape[1] < shared:
-                        found = np.hstack([found, np.tile(-1 - np.arange(shared, dtype=np.int32), (len(found), 1))])
-                    for i, own in zip(where, found.tolist(), strict=True):
-                        out[i] = own
-                else:
-                    for i, v in enumerate(raw):
-                        if len(v) == size:
-                            out[i] = list(range(-shared, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["id", "vector", "many", "pivots"])
-
-    index = cut(distinct.mapInArrow(describe, f"id {kind}, vector binary, many long, pivots array<int>"), "pivots")
-    listed = index.select("id", "vector", "many", "pivots", F.explode("pivots").alias("pivot"))
-    sizes = index.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().collect()  # one row a pivot: bounded
-    parts = {r["pivot"]: math.ceil(r["count"] / block) for r in sizes if r["count"] > 1}
-    longer = spark.createDataFrame([(p, k) for p, k in parts.items()], "pivot int, parts int")
-    own = listed.join(F.broadcast(longer), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = own.select("*", other).withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "other")
+            out: list = [list(range(-shared, 0))] * len(raw)  # a dimension without pivots: all share the first lists
+            own: list = [(-1, [])] * len(raw)
+            for size in {len(v) for v in raw} & sent.value.keys():
+                pivots, dense = sent.value[size]
+                where = [i for i, v in enumerate(raw) if len(v) == size]
+                x = unit([raw[i] for i in where])
+                found = described(x, pivots, nearest)
+                if found.shape[1] < shared:
+                    found = np.hstack([found, np.tile(-1 - np.arange(shared, dtype=np.int32), (len(found), 1))])
+                for i, near, cover in zip(where, found.tolist(), covered(x, pivots, dense, cosine, apart), strict=True):
+                    out[i], own[i] = near, cover
+            owned = [near if owner < 0 else [COVER + owner] for near, (owner, _) in zip(out, own, strict=True)]
+            guests = [[COVER + g for g in guest] for _, guest in own]
+            several = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(out, several), pa.array(owned, several), pa.array(guests, several)], names=["id", "vector", "many", "pivots", "owned", "guests"])
+
+    index = cut(distinct.mapInArrow(describe, f"id {kind}, vector binary, many long, pivots array<int>, owned array<int>, guests array<int>"), "pivots")
+    owned = F.transform("owned", lambda p: F.struct(p.alias("pivot"), F.lit(True).alias("own")))
+    guests = F.transform("guests", lambda p: F.struct(p.alias("pivot"), F.lit(False).alias("own")))
+    every = F.explode(F.concat(owned, guests)).alias("l")
+    listed = index.select("id", "vector", "many", "pivots", every).select("id", "vector", "many", "pivots", "l.pivot", "l.own")
+    sizes = index.select(every).groupBy("l.pivot").agg(F.count("*").alias("n"), F.count_if("l.own").alias("own")).collect()  # one row a pivot: bounded
+    parts = [(r["pivot"], math.ceil(r["own"] / block), math.ceil((r["n"] - r["own"]) / block)) for r in sizes if r["n"] > 1 and r["own"]]
+    longer = spark.createDataFrame(parts, "pivot int, parts int, more int")
+    # The owned blocks of a list come first, then those of guests; guests meet owned blocks only.
+    hashed = F.xxhash64("id")
+    dealt = listed.join(F.broadcast(longer), "pivot").withColumn("part", F.when(F.col("own"), F.pmod(hashed, F.col("parts"))).otherwise(F.col("parts") + F.pmod(hashed, F.col("more"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("parts") + F.col("more")).otherwise(F.col("parts")) - 1)).alias("other")
+    dealt = dealt.select("*", other).withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("parts", "more", "own", "other")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return compare(pdf, int(key[0]), key[1] == key[2], cosine, shared)
