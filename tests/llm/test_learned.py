@@ -240,6 +240,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dedup.groups(df.limit(0)).count() == 0
 
 
+def test_a_doubled_sentence_keeps_the_labels_of_the_others(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(200)]
+    doubled = plain[:60] + plain[48:]
+    a, b = (near_dedup.labelled(near_dedup.shingles(near_dedup.word_hashes([w.encode() for w in x]))) for x in (plain, doubled))
+    assert set(a.tolist()) <= set(b.tolist()) and len(set(b.tolist())) == len(b)
+    df = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join(doubled))], "doc_id long, text string")
+    assert [r.class_id for r in near_dedup.groups(df).collect()] == [1, 1]
+
+
 # ---- the pipeline
 
 

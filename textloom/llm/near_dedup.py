@@ -77,7 +77,7 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 def labelled(x: np.ndarray) -> np.ndarray:
-    """Each shingle with its occurrence number mixed in."""
+    """Each shingle with its occurrence number mixed in; a first occurrence is the shingle itself, whatever else the text repeats."""
     order = np.argsort(x, kind="stable")
     new = np.empty(len(x), dtype=bool)
     new[0], new[1:] = True, x[order][1:] != x[order][:-1]
@@ -87,7 +87,7 @@ def labelled(x: np.ndarray) -> np.ndarray:
     count = np.empty(len(x), dtype=np.uint64)
     count[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return scrambled(x + count * _MIX)
+        return np.where(count == 0, x, scrambled(x + count * _MIX))
 
 
 def multipliers(n: int) -> np.ndarray:
