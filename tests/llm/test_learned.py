@@ -250,6 +250,18 @@ def test_a_doubled_sentence_keeps_the_labels_of_the_others(spark):
     assert [r.class_id for r in near_dedup.groups(df).collect()] == [1, 1]
 
 
+def test_null_and_reused_ids_lose_no_text(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = words(0) + " end"
+    rows = [(None, words(0)), (None, words(1)), (None, words(2)), (None, words(2)), (1, words(3)), (1, words(4)), (1, words(4)), (2, near), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, near), (None, words(1)), (None, words(2)), (1, words(3)), (1, words(4)), (3, None)], key=str)
+    got = near_dedup.groups(df).collect()
+    assert len(got) == len(rows) and sorted((r.class_id for r in got if r.id is None), key=str) == [2, None, None, None]
+
+
 # ---- the pipeline
 
 

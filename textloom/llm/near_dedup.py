@@ -13,7 +13,8 @@ link between candidates is lost to the star.  The result has one row per input r
 is that one.
 
 Words: A-Z lower-cased, runs of a-z, 0-9 and non-ASCII characters.  Null and empty texts (and texts without words) are
-copies of each other.  An id names one document: rows of equal id must hold the same words.  Rows with a null id are dropped.
+copies of each other.  Every row counts, whatever its id: texts are told apart by their words, so rows with a null id are compared and returned,
+and different texts under one id are documents of their own.  The smallest id of a group is null only if all its ids are.
 """
 
 from __future__ import annotations
@@ -179,13 +180,17 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return max(len(a), len(b)) - shared <= most and banded(a, b, most) <= most
 
 
+def copy_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _sketches(rows: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, keys = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                digests.append(copy_of(words))
                 keys.append(sketch(word_hashes(words)))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
@@ -197,10 +202,14 @@ def _sketches(rows: DataFrame) -> DataFrame:
 def _hashed(rows: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [word_hashes(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "words"])
+            digests, out = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                digests.append(copy_of(words))
+                out.append(word_hashes(words).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["copy", "words"])
 
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, words binary")
+    return rows.mapInArrow(scan, "copy binary, words binary")
 
 
 def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -274,25 +283,35 @@ def _across(member: DataFrame, found: DataFrame, words: DataFrame, similarity: f
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(id, class_id, kept)`` for every row of ``docs``."""
-    rows = texts(docs, id_col, text_col).where("id is not null")
+    rows = texts(docs, id_col, text_col)
     sketched = cut(_sketches(rows), "omh")
-    reps = cut(sketched.groupBy("copy").agg(F.min(F.struct("id", "keys")).alias("r")).select("copy", F.col("r.id").alias("rep"), F.col("r.keys").alias("keys")), "omh-reps")
+    reps = sketched.groupBy("copy").agg(F.min("id").alias("low"), F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id())
+    reps = cut(reps, "omh-reps")  # written once, so the numbers stay
     members = reps.select("rep", F.explode("keys").alias("key"))
     centres = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     member = cut(members.join(centres, "key"), "omh-buckets")
     star = cut(member.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
-    wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    words = cut(_hashed(rows.join(wanted.hint("merge"), "id", "left_semi")).dropDuplicates(["id"]), "omh-words")
+    wanted = star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct()
+    wanted = cut(reps.join(wanted, "rep").select("copy", "rep", "low"), "omh-wanted")
+    # A row of each wanted copy: rows whose id is a smallest one (or null) are hashed, and told apart by their words.
+    some = rows.where("id is not null").join(wanted.select(F.col("low").alias("id")).where("id is not null").distinct().hint("merge"), "id", "left_semi")
+    hashed = _hashed(some.unionByName(rows.where("id is null")))
+    words = cut(hashed.join(wanted.select("copy", "rep"), "copy").select(F.col("rep").alias("id"), "words").dropDuplicates(["id"]), "omh-words")
     links = cut(_linked(star, words, similarity), "omh-links")
     found = components(links)
 
-    cuts: list[DataFrame] = []
+    cuts: list[DataFrame] = [wanted]
     more = cut(_across(member.select("key", "rep"), found, words, similarity, cuts), "omh-more")
     if not more.isEmpty():
         discard(found)
         found = components(links.unionByName(more))
-    classes = reps.select("copy", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("copy", F.coalesce("component", "rep").alias("class_id"))
-    out = cut(sketched.select("id", "copy").join(classes, "copy").select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")), "omh-classes")
+    named = reps.select("copy", "rep", F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("id"), "copy").alias("own"))
+    linked = cut(found.withColumnRenamed("v", "rep").join(named, "rep"), "omh-named")
+    cuts.append(linked)
+    best = linked.join(linked.groupBy("component").agg(F.min("own").alias("best")), "component").select("rep", "best")
+    classes = named.join(best, "rep", "left").select("copy", F.coalesce("best", "own").alias("best")).select("copy", F.col("best.id").alias("class_id"), F.col("best.copy").alias("one"))
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("one"))
+    out = cut(sketched.select("id", "copy").join(classes, "copy").select("id", "class_id", kept.alias("kept")), "omh-classes")
     for old in (sketched, reps, member, star, words, links, more, found, *cuts):
         discard(old)
     return out
@@ -303,9 +322,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one document of each group; rows of equal id count as copies.  All columns are returned."""
-    found = groups(docs, id_col, text_col)
-    dropped = found.groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("id").alias(id_col))
-    out = docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """``docs`` without all but one document of each group; a repeated row (same id, same text) counts as a copy.  All columns are returned."""
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    keyed = docs.withColumn("_key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text")))
+    found = groups(keyed, "_key", text_col)
+    dropped = found.groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("id").alias("_key"))
+    out = keyed.join(dropped, "_key", "left_anti")
     unique = found.groupBy("id").count().where("count > 1").isEmpty()
-    return out if unique else out.dropDuplicates([id_col])
+    return (out if unique else out.dropDuplicates(["_key"])).select(*docs.columns)
