@@ -262,6 +262,19 @@ def test_null_and_reused_ids_lose_no_text(spark):
     assert len(got) == len(rows) and sorted((r.class_id for r in got if r.id is None), key=str) == [2, None, None, None]
 
 
+def test_pairs_at_the_accepted_similarity_are_found():
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(1000):
+        a = rng.integers(0, 1 << 32, size=304, dtype=np.uint32)
+        b = a.copy()
+        b[rng.choice(60, size=12, replace=False) * 5 + 2] ^= 1  # each of 12 words far apart changes at most five of the 300 shingles
+        x, y = near_dedup.shingles(a), near_dedup.shingles(b)
+        assert near_dedup.similar(x, y)
+        met += bool((near_dedup.sketch(a) == near_dedup.sketch(b)).any())
+    assert met >= 990
+
+
 # ---- the pipeline
 
 

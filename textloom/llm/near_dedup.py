@@ -34,7 +34,7 @@ from .common import cut, discard, texts
 from .components import components
 from .decontam import words_of
 
-SHINGLE, SIMILARITY, BANDS, TABLES = 5, 0.8, 40, 3
+SHINGLE, SIMILARITY, BANDS, TABLES = 5, 0.8, 60, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
