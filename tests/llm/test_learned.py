@@ -110,6 +110,8 @@ PAGES = [
 def test_html(spark):
     df = spark.createDataFrame([(n, f"u{n}", p) for n, (p, _) in enumerate(PAGES)], "page_id long, url string, html string").selectExpr("*", "1 text", "2 n_chars")
     got = html_extract.digest(html_extract.extract(df)).orderBy("page_id").collect()
+    twice = html_extract.digest(html_extract.extract(df.unionByName(df))).orderBy("page_id").collect()
+    assert twice == [r for r in got for _ in range(2)]
     assert [(r.text, r.n_chars) for r in got][:6] == [(t, len(t)) for _, t in PAGES][:6] and got[7].text == PAGES[7][1]
     assert html_extract.extract(df.limit(0)).count() == 0
 
@@ -120,7 +122,46 @@ def test_whole_pages(spark):
     for r in read(spark, "pages").collect():
         article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
-        assert html_extract.main_text(r.html, tree) == " ".join(p for p in parts if p)
+        wanted = " ".join(p for p in parts if p)
+        assert html_extract.main_text(r.html, tree) == wanted
+        assert html_extract.main_text(re.sub("(</?)article>", r"\1div>", r.html), tree) == wanted  # words and links alone
+
+
+def test_pages_without_an_article():
+    tree = html_extract.trained()
+    say = lambda n, k=0: " ".join(f"w{k}x{i}" for i in range(n))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(5)) + "</ul>"
+    pages = [
+        (f"<div><h1>Title</h1><p>{say(80)}</p><p>{say(30)}</p></div>", f"Title {say(80)} {say(30)}"),
+        (f"<body><p>{say(60)}</p></body>", say(60)),
+        (f"{menu}<h2>Head</h2><p>{say(40)}</p><p>Yes.</p><p>{say(25)}</p>{menu}", f"Head {say(40)} Yes. {say(25)}"),
+        (f"{menu}<p>{say(20)}</p>{menu}", say(20)),
+        (f"<div class='share-price'><p>{say(30)}</p></div><p id=reply-brief>{say(20, 1)}</p><div class='promo-code'>{say(15, 2)}</div>", f"{say(30)} {say(20, 1)} {say(15, 2)}"),
+        (f"<div class='related posts'>{say(30)}</div><p>{say(20, 1)}</p><div id=cookieNotice>{say(15, 2)}</div><div class='comment-list'>{say(40)}</div>", say(20, 1)),
+        (f"<p>{say(20)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {say(3, 1)}</p><button>Press here", f"{say(20)} x=2 {say(3, 1)} Press here"),
+        (f"<p>{say(20)}</p><svg><p>{say(20, 1)}", f"{say(20)} {say(20, 1)}"),
+        (f"<p title=it's><a href='/hidden-valley' data-title=\"hidden gem\">One</a> {say(20)}</p><p hidden>no</p>", f"One {say(20)}"),
+        ("<p>Alone</p>", "Alone"), ("<p>a < b and c > d</p>", "a < b and c > d"), ("x<y", "x<y"), ("<p>tail <b", "tail <b"),
+    ]
+    for page, wanted in pages:
+        assert html_extract.main_text(page, tree) == wanted
+    for words in (13, 20, 200):  # running text is kept whatever its neighbours are, and everything of an unmarked article
+        for before in ((0, 0.0), (3, 1.0), (8, 0.0), (60, 0.0), (60, 0.9)):
+            for after in ((0, 0.0), (3, 1.0), (8, 0.0), (60, 0.0), (60, 0.9)):
+                assert html_extract.judged(tree, (words, 0.1, *before, *after, 0, 0, 0))
+                assert all(html_extract.judged(tree, (n, d, *before, *after, 0, 1, 0)) for n in (1, 3, 5, words) for d in (0.0, 0.5, 1.0))
+                assert not html_extract.judged(tree, (words, 0.1, *before, *after, 0, 0, 1))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    tree = html_extract.trained()
+    for n in (2_000, 40_000):
+        for page in ("<b>" * n + "</i>" * n, "<x a=\"b' " * n, "<b>" * n + "<li></li>" * n, "<ul><li><ul>" + "<b>" * n + "<li></li>" * n, "<" * n, "<a " * n, "<x a='" * n + ">", "<!--" * n):
+            begin = time.perf_counter()
+            html_extract.main_text(page, tree)
+            assert time.perf_counter() - begin < 5
 
 
 # ---- 9, licences

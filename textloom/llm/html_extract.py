@@ -1,13 +1,17 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into flat blocks at block-level tags; inline markup does not cut.  A block is described by its word count, its link
-density, those of the blocks before and after it, and whether it stands in page furniture (menus, headers and footers
-of the page, sidebars, notices, adverts, forms, comments, by element, role or class name), in an article, or in a heading.  A decision
-tree, trained with numpy on the small table below, says which blocks are main text.
-
-Scripts, styles, the head, comments and markup never are text.  Character references are decoded; white space in a block
-becomes one space; kept blocks are joined by one space in page order.  Null and empty pages have the empty text.  Pages are
-read whole; unclosed and stray tags are allowed.
+A page is cut into flat blocks at block-level tags; inline markup does not cut.  A block is described by its word count and link
+density, those of the blocks before and after it, and three signs of the markup: whether it is a heading, stands in an article, and whether a class
+name or id around it consists of nothing but words for page furniture (``MARKS`` and ``PLAIN``).  A decision tree, trained with numpy on the small
+table below, says from these nine numbers which blocks are main text; on pages without an article element the words and link densities decide.
+
+Markup decides alone only where it says what a block is: elements for menus, page headers and footers, sidebars, forms, dialogs and
+hidden parts (``FURNITURE``, ``ROLES``) are no main text, though they count as neighbours.  Scripts, styles, titles, comments and tags never are text.
+
+Character references are decoded; white space in a block becomes one space; kept blocks are joined by one space in page order.  Null and
+empty pages have the empty text; repeated rows each get their text; other columns of the input, whatever their names, are not carried.  Pages are read
+whole, in time linear in their length: unclosed and stray tags are looked up by name, and a tag whose quotes do not end by the page's end
+is read up to its first ``>``, as are all tags after it.
 """
 
 from __future__ import annotations
@@ -21,41 +25,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_PART = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template textarea svg iframe object head title select option button math canvas audio video".split())
-FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?|=)?""")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+RAW = frozenset("script style title iframe noembed noframes".split())  # up to the end tag, all is none of the page's text
+FURNITURE = frozenset("nav footer aside form menu dialog select datalist template".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big button canvas cite code data del dfn em font i img input ins kbd label map mark object output q ruby rb rt rp s samp small span strike strong sub sup svg text time "
+    "tspan tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle semantics annotation path g".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Parts of class names and ids that mark page furniture.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related share sharing social footer masthead comment comments disqus reply replies".split()
+#: Words for page furniture in class names and ids, and words that say nothing beside them.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr notice popup modal newsletter subscribe signup login nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar related share sharing social footer masthead comment comments disqus reply replies".split()
 )
-#: words, link density, words before, link density before, words after, link density after, furniture, article, heading -> main text
+PLAIN = frozenset(
+    "box list container wrapper wrap section block area slot banner bar link links button buttons main site page top bottom left right post posts article articles user reader "
+    "widget inner outer group item items content text head title form thread row unit".split()
+)
+#: words, link density, words before, link density before, words after, link density after, heading, article, marked -> main text
 LABELLED = (
-    ((6, 1.0, 0, 0.0, 5, 1.0, 1, 0, 0), 0), ((3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 0), 0), ((1, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0), 0),
-    ((9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0), 0), ((40, 0.0, 6, 0.0, 80, 0.0, 1, 0, 0), 0), ((120, 0.0, 90, 0.0, 4, 0.0, 1, 0, 0), 0),
-    ((18, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0), 0), ((25, 0.1, 60, 0.0, 30, 0.1, 1, 1, 0), 0), ((7, 0.0, 90, 0.0, 45, 0.0, 1, 1, 1), 0),
-    ((14, 0.0, 70, 0.0, 65, 0.0, 1, 0, 0), 0), ((11, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0), 0), ((3, 0.0, 2, 0.0, 95, 0.0, 1, 0, 0), 0),
-    ((75, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0), 0), ((90, 0.0, 3, 0.0, 85, 0.0, 1, 1, 0), 0), ((21, 0.0, 85, 0.0, 8, 0.0, 1, 1, 0), 0),
-    ((6, 0.0, 60, 0.0, 60, 0.0, 1, 0, 1), 0), ((1, 0.0, 30, 0.0, 55, 0.0, 1, 0, 0), 0), ((35, 0.2, 80, 0.0, 75, 0.0, 1, 1, 0), 0),
-    ((60, 0.0, 7, 0.0, 50, 0.0, 1, 1, 0), 0), ((2, 1.0, 2, 1.0, 2, 1.0, 1, 1, 0), 0), ((5, 0.0, 0, 0.0, 3, 1.0, 1, 0, 1), 0),
-    ((12, 0.0, 9, 0.0, 80, 0.0, 0, 1, 1), 1), ((1, 0.0, 6, 0.0, 70, 0.0, 0, 1, 1), 1), ((80, 0.0, 12, 0.0, 60, 0.0, 0, 1, 0), 1),
-    ((2, 0.0, 60, 0.0, 90, 0.0, 0, 1, 0), 1), ((1, 0.0, 40, 0.0, 8, 0.0, 0, 1, 0), 1), ((30, 0.2, 70, 0.0, 50, 0.0, 0, 1, 0), 1),
-    ((6, 1.0, 50, 0.0, 60, 0.0, 0, 1, 0), 1), ((9, 0.6, 40, 0.0, 0, 0.0, 0, 1, 0), 1), ((3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), 1),
-    ((70, 0.0, 10, 0.0, 55, 0.0, 0, 0, 0), 1), ((45, 0.05, 60, 0.0, 65, 0.0, 0, 0, 0), 1), ((22, 0.0, 80, 0.0, 3, 1.0, 0, 0, 0), 1),
-    ((14, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0), 1), ((8, 0.0, 3, 1.0, 90, 0.0, 0, 0, 1), 1), ((5, 0.0, 75, 0.0, 60, 0.0, 0, 0, 1), 1),
-    ((3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((12, 0.9, 9, 0.9, 20, 0.0, 0, 0, 0), 0), ((30, 0.8, 4, 1.0, 6, 0.9, 0, 0, 0), 0),
-    ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), 0), ((6, 0.0, 5, 0.0, 2, 0.0, 0, 0, 0), 0), ((3, 0.0, 4, 0.5, 0, 0.0, 0, 0, 0), 0),
-    ((2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), 0), ((9, 0.5, 60, 0.0, 4, 0.8, 0, 0, 0), 0), ((50, 0.7, 40, 0.0, 30, 0.0, 0, 0, 0), 0),
+    # in a part whose name says furniture
+    ((8, 0.0, 2, 1.0, 9, 0.0, 0, 0, 1), 0), ((40, 0.0, 6, 0.0, 80, 0.0, 0, 0, 1), 0), ((120, 0.0, 90, 0.0, 60, 0.0, 0, 0, 1), 0), ((3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1), 0),
+    ((25, 0.1, 60, 0.0, 30, 0.1, 0, 1, 1), 0), ((7, 0.0, 90, 0.0, 45, 0.0, 1, 1, 1), 0), ((90, 0.0, 30, 0.0, 85, 0.0, 0, 1, 1), 0), ((1, 1.0, 70, 0.0, 0, 0.0, 0, 1, 1), 0),
+    ((12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), 0), ((14, 0.0, 80, 0.0, 0, 0.0, 0, 1, 1), 0), ((6, 0.0, 20, 0.0, 30, 0.0, 1, 0, 1), 0), ((55, 0.3, 14, 0.0, 2, 1.0, 0, 1, 1), 0),
+    # in an article: paragraphs of any length, lists of links, headings
+    ((12, 0.0, 9, 0.0, 80, 0.0, 1, 1, 0), 1), ((1, 0.0, 6, 1.0, 70, 0.0, 1, 1, 0), 1), ((80, 0.0, 12, 0.0, 60, 0.0, 0, 1, 0), 1), ((2, 0.0, 60, 0.0, 90, 0.0, 0, 1, 0), 1),
+    ((1, 0.0, 40, 0.0, 8, 1.0, 0, 1, 0), 1), ((6, 1.0, 50, 0.0, 60, 0.0, 0, 1, 0), 1), ((4, 1.0, 5, 1.0, 6, 1.0, 0, 1, 0), 1), ((9, 0.6, 3, 1.0, 0, 0.0, 0, 1, 0), 1),
+    ((3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), 1), ((2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0), 1), ((30, 0.9, 3, 1.0, 50, 0.0, 0, 1, 0), 1), ((5, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0), 1),
+    ((1, 1.0, 3, 1.0, 0, 0.0, 0, 1, 0), 1), ((150, 0.0, 0, 0.0, 4, 1.0, 0, 1, 0), 1), ((7, 0.0, 2, 1.0, 5, 0.0, 0, 1, 0), 1), ((11, 1.0, 2, 0.0, 2, 1.0, 1, 1, 0), 1),
+    ((3, 0.0, 5, 0.0, 0, 0.0, 0, 1, 0), 1), ((6, 0.0, 9, 1.0, 0, 0.0, 0, 1, 0), 1), ((2, 0.4, 4, 1.0, 1, 0.0, 0, 1, 0), 1), ((8, 0.9, 60, 0.0, 9, 1.0, 0, 1, 0), 1),
+    ((3, 0.0, 14, 1.0, 0, 0.0, 0, 1, 0), 1), ((3, 0.1, 2, 1.0, 0, 0.0, 0, 1, 0), 1), ((3, 0.0, 30, 0.7, 2, 0.0, 0, 1, 0), 1), ((4, 0.2, 1, 0.8, 0, 0.0, 0, 1, 0), 1),
+    # elsewhere: running text, whatever stands beside it
+    ((70, 0.0, 10, 0.0, 55, 0.0, 0, 0, 0), 1), ((45, 0.05, 60, 0.0, 65, 0.0, 0, 0, 0), 1), ((60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), 1), ((22, 0.0, 80, 0.0, 3, 1.0, 0, 0, 0), 1),
+    ((30, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), 1), ((16, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), 1), ((80, 0.3, 2, 1.0, 4, 1.0, 0, 0, 0), 1), ((14, 0.1, 45, 0.0, 50, 0.0, 0, 0, 0), 1),
+    ((120, 0.4, 3, 0.0, 60, 0.2, 0, 0, 0), 1), ((18, 0.3, 40, 0.1, 2, 1.0, 0, 0, 0), 1), ((35, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0), 1), ((15, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0), 1),
+    ((80, 0.0, 10, 0.0, 0, 0.0, 0, 0, 0), 1), ((25, 0.0, 12, 1.0, 0, 0.0, 0, 0, 0), 1), ((20, 0.2, 6, 1.0, 3, 1.0, 0, 0, 0), 1), ((50, 0.1, 7, 0.0, 9, 1.0, 0, 0, 0), 1),
+    # elsewhere: short text beside running text, or where there are no links at all
+    ((5, 0.0, 75, 0.0, 60, 0.0, 0, 0, 0), 1), ((3, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0), 1), ((6, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0), 1), ((4, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0), 1),
+    ((2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0), 1), ((7, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0), 1), ((8, 0.1, 60, 0.0, 2, 0.0, 0, 0, 0), 1), ((1, 0.0, 25, 0.2, 20, 0.1, 0, 0, 0), 1),
+    ((3, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0), 1), ((3, 0.1, 4, 0.0, 0, 0.0, 0, 0, 0), 1), ((3, 0.0, 12, 0.2, 0, 0.0, 0, 0, 0), 1), ((3, 0.2, 1, 0.0, 0, 0.0, 1, 0, 0), 1),
+    # elsewhere: headings of running text
+    ((8, 0.0, 3, 1.0, 90, 0.0, 1, 0, 0), 1), ((2, 0.0, 2, 1.0, 25, 0.0, 1, 0, 0), 1), ((5, 0.0, 75, 0.0, 60, 0.0, 1, 0, 0), 1), ((6, 0.0, 1, 1.0, 12, 0.1, 1, 0, 0), 1),
+    ((4, 0.0, 3, 1.0, 6, 0.0, 1, 0, 0), 1), ((9, 1.0, 0, 0.0, 70, 0.0, 1, 0, 0), 1), ((7, 1.0, 3, 1.0, 40, 0.0, 1, 0, 0), 1), ((3, 0.0, 4, 1.0, 1, 0.0, 1, 0, 0), 1),
+    # elsewhere: links within running text
+    ((6, 1.0, 50, 0.0, 60, 0.0, 0, 0, 0), 1), ((3, 1.0, 20, 0.0, 35, 0.1, 0, 0, 0), 1), ((12, 0.7, 80, 0.0, 25, 0.0, 0, 0, 0), 1), ((30, 0.6, 40, 0.0, 45, 0.0, 0, 0, 0), 1),
+    # elsewhere: menus, lists of links, and short text between them
+    ((3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((12, 0.9, 9, 0.9, 20, 0.0, 0, 0, 0), 0), ((30, 0.8, 4, 1.0, 6, 0.9, 0, 0, 0), 0), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), 0),
+    ((6, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0), 0), ((4, 1.0, 70, 0.0, 3, 1.0, 0, 0, 0), 0), ((5, 1.0, 90, 0.0, 0, 0.0, 0, 0, 0), 0), ((40, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0), 0),
+    ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), 0), ((2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), 0), ((3, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0), 0), ((6, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), 0),
+    ((9, 0.5, 3, 0.8, 4, 0.8, 0, 0, 0), 0), ((2, 0.5, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((3, 0.0, 3, 1.0, 5, 1.0, 1, 0, 0), 0), ((1, 0.0, 9, 1.0, 2, 1.0, 1, 0, 0), 0),
+    ((7, 0.6, 30, 0.9, 0, 0.0, 0, 0, 0), 0), ((5, 0.8, 12, 0.9, 40, 0.0, 0, 0, 0), 0), ((15, 1.0, 60, 0.0, 8, 1.0, 0, 0, 0), 0), ((60, 0.9, 80, 0.0, 0, 0.0, 0, 0, 0), 0),
+    ((9, 1.0, 4, 0.0, 30, 0.0, 0, 0, 0), 0), ((20, 0.9, 1, 1.0, 30, 0.0, 0, 0, 0), 0), ((15, 1.0, 8, 0.0, 40, 0.0, 0, 0, 0), 0), ((8, 0.9, 12, 1.0, 25, 0.0, 0, 0, 0), 0),
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple:
     """A decision tree by Gini impurity: (column, threshold, left, right), or (share,) for a leaf."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -85,30 +113,54 @@ def judged(tree: tuple, features: tuple) -> bool:
     return tree[0] >= 0.5
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in FURNITURE or name == "header" and not in_article:
-        return True
-    if not attributes:
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not HINTS.isdisjoint(_PART.findall(value)):
+def says_furniture(value: str) -> bool:
+    """Whether a class or id has a name of furniture words alone, such as ``cookie-notice`` or ``related posts``; ``share-price`` is none."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not MARKS.isdisjoint(parts) and all(p in MARKS or p in PLAIN for p in parts):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density, furniture, article, heading) of each block that has words, in page order."""
+class _Reader:
+    """Reads the tags of one page."""
+
+    def __init__(self, page: str):
+        self.page, self.lenient, self.last = page, False, page.rfind(">")
+
+    def tag(self, at: int) -> tuple[int, str, dict[str, str]] | None:
+        """(end, name with a slash if it closes, attributes) of the tag that begins at ``at``; None if ``<`` is text there."""
+        page = self.page
+        head = _NAME.match(page, at)
+        if not head or self.last < at:
+            return None
+        name, where = head[1].lower(), head.end()
+        found: dict[str, str] = {}
+        if not self.lenient:
+            while True:
+                m = _ATTRIBUTE.match(page, where)
+                where = m.end()
+                if m[1]:
+                    found.setdefault(m[1].lower(), m[2].strip("\"'") if m[2] else "")
+                elif where == m.start() or where >= len(page) or page[where] == ">":
+                    break
+            if where < len(page) and page[where] == ">":
+                return where + 1, "/" * (page[at + 1] == "/") + name, found
+            self.lenient, found = True, {}
+        end = page.find(">", head.end())
+        return (end + 1, "/" * (page[at + 1] == "/") + name, found) if end >= 0 else None
+
+
+def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
+    """(text, words, link density, furniture, heading, article, marked) of each block that has words, in page order."""
     out: list = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name; furniture, article, heading, link as they were outside
-    state = [False, False, False, False]
+    reader = _Reader(page)
+    stack: list[tuple] = []  # name; furniture, heading, article, marked, link as they were outside; places of the open p and li that would end here
+    opened: dict[str, int] = {}
+    state = [False] * 5
     parts: list[str] = []
     linked: list[str] = []
-    described = (False, False, False)
+    described = (False,) * 4
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
@@ -123,72 +175,96 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         if not parts:
             if raw.isspace():
                 return
-            described = (state[0], state[1], state[2])
+            described = tuple(state[:4])
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if state[3]:
+        if state[4]:
             linked.append(text)
 
-    at, size = 0, len(page)
-    while at < size:
-        token = _TOKEN.search(page, at)
-        begin = token.start() if token else size
-        if begin > at:
-            say(page[at:begin])
-        if not token:
+    def close(depth: int) -> None:
+        state[:] = stack[depth][1:6]
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        del stack[depth:]
+
+    at, begin, size = 0, 0, len(page)
+    while True:
+        at = page.find("<", at)
+        if at < 0:
             break
-        at = token.end()
-        name = (token[2] or token[5] or "").lower()
-        if not name:
+        if page.startswith(("<!", "<?"), at):
+            if begin < at:
+                say(page[begin:at])
+            end = page.find("-->", at + 2) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            at = begin = end + 1 if end > at else size
             continue
-        closing, attributes = token[1] or token[4], token[3] or token[6] or ""
-        if name in RAW and not closing:
-            if name != "option" and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if name == "head" and end is None:
-                    end = re.compile(r"(?=<body)", re.I).search(page, at)
-                at = end.end() if end else size
-            if name != "button":
-                flush()
+        tag = reader.tag(at)
+        if tag is None:
+            at += 1
             continue
-        if name not in INLINE:
+        if begin < at:
+            say(page[begin:at])
+        at, name, attributes = tag
+        begin = at
+        closing = name[0] == "/"
+        name = name[closing:]
+        if name in RAW and not closing:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = begin = end.end() if end else size
             flush()
-        elif name == "br":
+            continue
+        if name == "br":
             parts and parts.append(" ")
             continue
+        if name not in INLINE:
+            flush()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    state[:] = stack[depth][1:]
-                    del stack[depth:]
-                    break
+            if opened.get(name):
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                close(depth)
             continue
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID:
             continue
-        if name == "p" or name == "li":  # an open one of these ends where the next begins
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    state[:] = stack[depth][1:]
-                    del stack[depth:]
-                    break
-                if stack[depth][0] not in INLINE and stack[depth][0] != "p":
-                    break
-        stack.append((name, *state))
-        inside = state[1] or name in ("article", "main")
-        state[0] = state[0] or _is_furniture(name, attributes, inside)
-        state[1] = inside
-        state[2] = state[2] or name in HEADINGS
-        state[3] = state[3] or name == "a"
+        if name in ("p", "li") and stack:  # an open one of these ends where the next begins
+            depth = stack[-1][6 if name == "p" else 7]
+            if depth >= 0:
+                close(depth)
+        here, outside = len(stack), stack[-1] if stack else (None,) * 6 + (-1, -1)
+        p = here if name == "p" else outside[6] if name in INLINE else -1
+        li = here if name == "li" else outside[7] if name in INLINE or name == "p" else -1
+        stack.append((name, *state, p, li))
+        opened[name] = opened.get(name, 0) + 1
+        article = state[2] or name in ("article", "main") or attributes.get("role", "").lower() in ("article", "main")
+        state[0] = state[0] or name in FURNITURE or name == "header" and not article or _hidden(attributes)
+        state[1] = state[1] or name in HEADINGS
+        state[2] = article
+        if name not in ("body", "html", "article", "main"):
+            state[3] = state[3] or any(k in attributes and says_furniture(attributes[k]) for k in ("class", "id"))
+        state[4] = state[4] or name == "a"
+    if begin < size:
+        say(page[begin:])
     flush()
     return out
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    return bool(attributes) and (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or attributes.get("role", "").lower() in ROLES
+        or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    )
+
+
 def main_text(page: str | None, tree: tuple) -> str:
     own = blocks(page or "")
     kept = []
-    for i, (text, n, density, furniture, article, heading) in enumerate(own):
-        before, after = own[i - 1] if i else ("", 0, 0.0), own[i + 1] if i + 1 < len(own) else ("", 0, 0.0)
-        if judged(tree, (n, density, before[1], before[2], after[1], after[2], furniture, article, heading)):
+    none = ("", 0, 0.0)
+    for i, (text, n, density, furniture, heading, article, marked) in enumerate(own):
+        before, after = own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none
+        if not furniture and judged(tree, (n, density, before[1], before[2], after[1], after[2], heading, article, marked)):
             kept.append(text)
     return " ".join(kept)
 
