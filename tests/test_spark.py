@@ -28,7 +28,7 @@ LOWERED = [
     ("TEXT = 1 TO n (l:LINE) SPLITBY NL", ["a\r\nb\n\nc", "", "x\n"]),
     ("TEXT = (n:INT OR w:WORD) '!' AS [n, w]", ["12!", "ab!"]),
     ("pair = k:WORD '=' v:INT AS { 'k': k, 'v': NUM(v) }\nTEXT = 1 TO n pair SPLITBY '&'", ["a=1&b=2", "a=1&", "q=5"]),
-    ("rhyme = noun:WORD ' are ' colors NL AS { 'noun': noun, 'colors': colors }\ncolors = 1 TO n WORD SPLITBY (' and ' OR ', ')\nTEXT = 1 TO n rhyme", ["roses are red and pink\nx are y\n", "x are y"]),
+    ("stop = name:WORD ': ' lines NL AS { 'name': name, 'lines': lines }\nlines = 1 TO n INT SPLITBY (', ' OR ' & ')\nTEXT = 1 TO n stop", ["Harbour: 4, 12 & 7\nMill: 3\n", "Mill: 3"]),
     ("TEXT = i'Ab' ' ' x:(2 TO 3 DIGIT)", ["aB 12", "AB 1234"]),
     ("TEXT = k:(ANY UNTIL (NL OR EOF))", ["abc\n", "abc", "a\nb"]),
     ("TEXT = 1 TO n x:(a:WORD ':' b:(1 TO n DIGIT)) SPLITBY ';'", ["a:1;b:23", "a:"]),
