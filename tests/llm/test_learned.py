@@ -271,8 +271,9 @@ def test_near_duplicates(spark, monkeypatch):
     given = corpus()
     wanted = brute_classes(given)
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").selectExpr("*", "1 id", "2 copy", "3 keys").repartition(5)
-    for block in (near_dedup.BLOCK, 8):
+    for block, words in ((near_dedup.BLOCK, near_dedup.BLOCK_WORDS), (8, 10**6), (10**6, 700)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_WORDS", words)
         got = near_dedup.digest(near_dedup.groups(df)).orderBy("doc_id").collect()
         assert [(r.class_id, r.kept) for r in got] == [(w, w == n) for n, w in enumerate(wanted)]
     repeated = df.unionByName(df.where("doc_id < 20"))

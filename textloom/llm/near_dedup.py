@@ -9,11 +9,13 @@ that agree in a band are candidates.  A candidate is a link if the edit distance
 Copies (the same words) collapse to one representative before anything else.  Of each bucket every member is first
 compared with the bucket's smallest member, which is linear however large the bucket is; after the links found so are
 joined to groups, the members of a bucket that are still in different groups are all compared, block by block, so that no
-link between candidates is lost to the star.  The result has one row per input row: id, the group's smallest id, and whether the row
+link between candidates is lost to the star: the members of a large group are dealt into blocks that meet the other groups' blocks, but never each
+other, and each pair of blocks of a bucket is a task of its own.  Buckets of the same members are compared once, and two documents only in the
+first bucket they share.  The result has one row per input row: id, the group's smallest id, and whether the row
 is that one.
 
 Words: A-Z lower-cased, runs of a-z, 0-9 and non-ASCII characters.  Null and empty texts (and texts without words) are
-copies of each other.  Every row counts, whatever its id: texts are told apart by their words, so rows with a null id are compared and returned,
+copies of each other.  Repeated rows are copies.  Other columns, whatever their names, are not carried.  Every row counts, whatever its id: texts are told apart by their words, so rows with a null id are compared and returned,
 and different texts under one id are documents of their own.  The smallest id of a group is null only if all its ids are.
 """
 
@@ -24,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ _CACHE = _Hashes()
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """32-bit hashes; equal words have equal hashes in every process."""
-    if len(_CACHE) > 500_000:
+    if len(_CACHE) > 150_000:
         _CACHE.clear()
     return np.fromiter(map(_CACHE.__getitem__, words), dtype=np.uint32, count=len(words))
 
@@ -187,16 +188,17 @@ def copy_of(words: list[bytes]) -> bytes:
 def _sketches(rows: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, keys, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 digests.append(copy_of(words))
+                sizes.append(len(words))
                 keys.append(sketch(word_hashes(words)))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["id", "copy", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes, pa.int64())], names=["id", "copy", "keys", "n"])
 
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, copy binary, keys array<long>")
+    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, copy binary, keys array<long>, n long")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -225,70 +227,121 @@ def _linked(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     a, b = (words.select(F.col("id").alias(k), F.col("words").alias("w" + k)) for k in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb")
+    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb")  # last the centres, of which one may have many pairs
     return joined.mapInArrow(verify, pairs.select("a", "b").schema)
 
 
-BLOCK, BLOCK_BYTES = 512, 32_000_000
+BLOCK, BLOCK_WORDS = 512, 1_000_000
 
 
-def across(pdf: pd.DataFrame, same: bool, similarity: float) -> pd.DataFrame:
-    """Links between different groups among documents that share a bucket; ``same``: the two blocks are one."""
-    pdf = pdf.sort_values(["part", "rep"])
-    kinds, at = np.unique(np.concatenate(pdf["keys"].tolist()), return_inverse=True)
-    row = np.repeat(np.arange(len(pdf)), [len(k) for k in pdf["keys"]])
-    has = np.zeros((len(pdf), len(kinds)), dtype=np.float32)
-    has[row, at] = 1
-    group, part = pdf["c"].to_numpy(), pdf["part"].to_numpy()
-    wanted = (has @ has.T > 0) & (group[:, None] != group[None, :])
-    if not same:
-        wanted &= part[:, None] != part[None, :]
-    reps = pdf["rep"].to_numpy()
-    x = [shingles(np.frombuffer(w, np.uint32)) for w in pdf["words"]]
-    bags = [np.sort(labelled(y)) if len(y) else y for y in x]
+def across(key: int, sides: list, reps: list, groups: list, keys: list, words: list, similarity: float = SIMILARITY) -> list[tuple]:
+    """Links between different groups among the documents of one task of bucket ``key``.
+
+    ``sides``: the block of each document; if there are two, only documents of different blocks are compared.  What documents share is counted
+    over an inverted list of their shingles; a pair that shares enough is aligned, unless links found here already join its groups.
+    """
+    n = len(reps)
+    x = [shingles(np.frombuffer(w, np.uint32)) for w in words]
+    bags = [labelled(y) if len(y) else y for y in x]
+    sizes = np.array([len(y) for y in x], dtype=np.int64)
+    order = np.argsort(np.concatenate(bags), kind="stable")
+    kinds, at = np.unique(np.concatenate(bags), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    postings, begins = owner[order], np.searchsorted(at[order], np.arange(len(kinds) + 1))
+    ends = np.cumsum(sizes)
+    group, side = np.unique(np.array(groups), return_inverse=True)[1], np.unique(np.array(sides), return_inverse=True)[1]
+    two = side.max(initial=0) > 0
+    root = list(range(int(group.max(initial=0)) + 1))
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
     out = []
-    for i in np.flatnonzero(wanted.any(axis=1)):
-        for j in np.flatnonzero(wanted[i, i + 1 :]) + i + 1:
-            longer = max(len(x[i]), len(x[j]))
-            at = np.minimum(np.searchsorted(bags[j], bags[i]), len(bags[j]) - 1) if len(bags[j]) else np.zeros(0, np.int64)
-            if longer - int((bags[j][at] == bags[i]).sum() if len(at) else 0) <= int((1 - similarity) * longer + 1e-9) and similar(x[i], x[j], similarity):
-                out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
+    for i in range(n):
+        own = at[ends[i] - sizes[i] : ends[i]]
+        counts = begins[own + 1] - begins[own]
+        offsets = np.repeat(begins[own] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(int(counts.sum()))
+        shared = np.bincount(postings[offsets], minlength=n)
+        longer = np.maximum(sizes, sizes[i])
+        wanted = (longer - shared <= ((1 - similarity) * longer + 1e-9).astype(np.int64)) & (group != group[i])
+        wanted[: i + 1] = False
+        if two:
+            wanted &= side != side[i]
+        for j in np.flatnonzero(wanted):
+            a, b = find(int(group[i])), find(int(group[j]))
+            if a != b and min(set(keys[i]) & set(keys[j])) == key and similar(x[i], x[j], similarity):
+                root[b] = a
+                out.append((reps[i], reps[j]))
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Runs :func:`across` on each task of rows that arrive sorted by task."""
+    task, rows = None, []
+    names, kind = ["a", "b"], None
+
+    def done() -> pa.RecordBatch:
+        links = across(rows[0][1], *(list(c) for c in list(zip(*rows, strict=True))[2:]), similarity=similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k in (0, 1)], names=names)
+
+    for batch in batches:
+        kind = batch.schema.field("rep").type
+        for row in zip(*(batch.column(k).to_pylist() for k in ("task", "key", "side", "rep", "c", "keys", "words")), strict=True):
+            if row[0] != task:
+                if rows:
+                    yield done()
+                task, rows = row[0], []
+            rows.append(row)
+    if rows:
+        yield done()
 
 
 def _across(member: DataFrame, found: DataFrame, words: DataFrame, similarity: float, cuts: list[DataFrame]) -> DataFrame:
-    """Links (a, b) between documents that share a bucket (key, rep) but are not yet in one group.
+    """Links (a, b) between documents that share a bucket (key, rep, n words) but are not yet in one group.
 
-    Groups that share buckets are gathered; the documents of a gathering are dealt into blocks, and each pair of blocks is a task,
-    so that rows grow with the blocks, not with the pairs, and no gathering meets in one task.  ``cuts`` takes what to discard afterwards.
+    ``cuts`` takes what to discard afterwards.  Rows grow with the blocks of a bucket, not with its pairs.
     """
+    own = cut(member.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c")), "omh-own")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"mark{k}") for k in (0, 1)]
+    mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), *marks).where("x <> y")
+    kept = mixed.groupBy("m", "mark0", "mark1").agg(F.min("key").alias("key")).select("key")  # of buckets with the same members one
+    crossing = cut(own.join(kept, "key"), "omh-mixed")
+    cuts += [own, crossing]
+    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(w / BLOCK_WORDS)).cast("long")
+    per = crossing.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("parts", blocks(F.col("m"), F.col("w")))
+    large, small = F.col("parts") > 1, F.col("parts") == 1
+    label = lambda c, k: F.concat_ws(".", c.cast("string"), k.cast("string"))
+    count_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    each = per.groupBy("key").agg(
+        F.collect_list(F.when(large, F.struct("c", "parts"))).alias("large"),
+        F.coalesce(F.sum(F.when(small, F.col("m"))), F.lit(0)).alias("m"),
+        F.coalesce(F.sum(F.when(small, F.col("w"))), F.lit(0)).alias("w"),
+    )
+    labels = F.flatten(F.transform("large", lambda g: F.transform(count_to(g["parts"]), lambda k: F.struct(g["c"].alias("c"), label(g["c"], k).alias("label")))))
+    rest = F.transform(count_to(F.col("rest")), lambda k: F.struct(F.lit(None).cast(per.schema["c"].dataType).alias("c"), label(F.lit("rest"), k).alias("label")))
+    each = each.withColumn("rest", blocks(F.col("m"), F.col("w"))).select("key", "rest", F.concat(labels, F.when(F.col("m") > 0, rest).otherwise(F.slice(rest, 1, 0))).alias("labels"))
+    dealt = crossing.join(per.select("key", "c", "parts"), ["key", "c"]).join(each, "key")
+    side = F.when(large, label(F.col("c"), F.pmod(F.xxhash64("rep"), "parts"))).otherwise(label(F.lit("rest"), F.pmod(F.xxhash64("c"), "rest")))
+    others = F.filter("labels", lambda x: small | x["c"].isNull() | (x["c"] != F.col("c")))
+    dealt = dealt.withColumn("side", side).select("key", "rep", "c", "side", F.explode(others).alias("other"))
+    task = F.concat_ws(":", F.col("key").cast("string"), F.least("side", "other.label"), F.greatest("side", "other.label"))
+    docs = crossing.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(words.withColumnRenamed("id", "rep"), "rep")
+    rows = dealt.select(task.alias("task"), "key", "side", "rep", "c").join(docs, "rep").select("task", "key", "side", "rep", "c", "keys", "words")
     kind = member.schema["rep"].dataType.simpleString()
-    own = cut(member.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "omh-own")
-    mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "x")
-    crossing = cut(own.join(mixed, "key"), "omh-mixed")
-    gathered = components(crossing.select(F.col("x").alias("a"), F.col("c").alias("b")).distinct())
-    docs = crossing.groupBy("rep", "c").agg(F.collect_list("key").alias("keys")).join(words.withColumnRenamed("id", "rep"), "rep")
-    docs = cut(docs.join(gathered.select(F.col("v").alias("c"), F.col("component").alias("g")), "c"), "omh-gathered")
-    cuts += [own, crossing, gathered, docs]
-    sizes = docs.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("words")) / BLOCK_BYTES)).alias("parts"))
-    dealt = docs.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select("g", "i", "j", "part", "rep", "c", "keys", "words")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return across(pdf, key[1] == key[2], similarity)
-
-    return dealt.groupBy("g", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _compared(batches, similarity), f"a {kind}, b {kind}").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(id, class_id, kept)`` for every row of ``docs``."""
     rows = texts(docs, id_col, text_col)
     sketched = cut(_sketches(rows), "omh")
-    reps = sketched.groupBy("copy").agg(F.min("id").alias("low"), F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id())
+    reps = sketched.groupBy("copy").agg(F.min("id").alias("low"), F.first("keys").alias("keys"), F.first("n").alias("n")).withColumn("rep", F.monotonically_increasing_id())
     reps = cut(reps, "omh-reps")  # written once, so the numbers stay
-    members = reps.select("rep", F.explode("keys").alias("key"))
-    centres = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    members = reps.select("rep", "n", F.explode("keys").alias("key"))
+    centres = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("key", "centre")
     member = cut(members.join(centres, "key"), "omh-buckets")
     star = cut(member.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
     wanted = star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct()
@@ -301,7 +354,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     found = components(links)
 
     cuts: list[DataFrame] = [wanted]
-    more = cut(_across(member.select("key", "rep"), found, words, similarity, cuts), "omh-more")
+    more = cut(_across(member.select("key", "rep", "n"), found, words, similarity, cuts), "omh-more")
     if not more.isEmpty():
         discard(found)
         found = components(links.unionByName(more))
