@@ -15,19 +15,17 @@ document count as toxic if any is.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import cut, discard, fold, small_batches
 
 SAMPLE = (1500, 3000)  # labelled documents of class 1 and 0 that a fit reads at most
-SAMPLE_CHARS = 48_000_000
+SAMPLE_CHARS = 24_000_000
 FEATURES = 1500
 #: Terms that name groups of people, by kind; terms of a kind are swapped for each other.
 IDENTITIES = (
@@ -57,7 +55,7 @@ def grams(word: str) -> Iterator[str]:
 class Model:
     """Weights of the kept features; scores texts with a bounded cache of words."""
 
-    CACHE = 200_000
+    CACHE = 60_000
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: float):
         self.index = {x: i for i, x in enumerate(names)}
@@ -93,25 +91,37 @@ def swaps(words: set[str]) -> list[set[str]]:
     return [words - {term} | {other} for kind in IDENTITIES for term in kind if term in words for other in kind if other != term]
 
 
-def fit_model(rows: list[tuple[set[str], int]], features: int = FEATURES, strength: float = 1.0, steps: int = 250) -> Model:
+def fit_model(rows: Iterable[tuple[set[str], int]], features: int = FEATURES, strength: float = 1.0, steps: int = 250) -> Model:
     """``strength`` weighs the counterfactual term."""
-    y = np.array([label for _, label in rows], dtype=np.float64)
+    index: dict[str, int] = {}
+    terms = {t for kind in IDENTITIES for t in kind}
+    docs, y, named = [], [], {}
+    for n, (words, label) in enumerate(rows):
+        docs.append(np.fromiter((index.setdefault(w, len(index)) for w in sorted(words)), dtype=np.int32, count=len(words)))
+        y.append(float(label))
+        if not terms.isdisjoint(words):
+            named[n] = words
+    y = np.array(y)
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
-    counts = (Counter(), Counter())
-    for words, label in rows:
-        counts[label].update({x for w in words for x in grams(w)})
+    known: dict[str, int] = {}
+    of_word = [np.array(sorted({known.setdefault(x, len(known)) for x in grams(w)}), dtype=np.int32) for w in index]
+    counts = np.zeros((2, len(known)))
+    for own, label in zip(docs, y, strict=True):
+        if len(own):
+            counts[int(label), np.unique(np.concatenate([of_word[w] for w in own]))] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
-    value = {}
-    for x in counts[1].keys() | {x for x, n in counts[0].items() if n >= 0.02 * n0}:
-        p, q = counts[1][x] / n1, counts[0][x] / n0
-        both = (counts[1][x] + counts[0][x] + 1) / (n0 + n1 + 2)
-        value[x] = (p - q) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0))
-    groups = [term + "=" for kind in IDENTITIES for term in kind]
-    names = sorted(sorted(value, key=lambda x: (-value[x], x))[:features] + [x for x in groups if x not in value])
-    names = list(dict.fromkeys(names))
+    p, q, both = counts[1] / n1, counts[0] / n0, (counts.sum(axis=0) + 1) / (n0 + n1 + 2)
+    value = (p - q) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0))
+    wanted = (counts[1] > 0) | (counts[0] >= 0.02 * n0)
+    grams_by_id = list(known)
+    chosen = [grams_by_id[i] for i in sorted(np.flatnonzero(wanted), key=lambda i: (-value[i], grams_by_id[i]))[:features]]
+    names = sorted(set(chosen) | {t + "=" for t in terms if t + "=" not in known or not wanted[known[t + "="]]})
     blank = Model(names, np.zeros(len(names)), 0.0)
+    column = np.full(len(known) + 1, -1)
+    for name, k in blank.index.items():
+        column[known.get(name, len(known))] = k
 
     def matrix(sets: list[set[str]]) -> np.ndarray:
         out = np.zeros((len(sets), len(names)), dtype=np.float32)
@@ -119,21 +129,27 @@ def fit_model(rows: list[tuple[set[str], int]], features: int = FEATURES, streng
             out[i, sorted(blank.features(words))] = 1
         return out
 
+    x = np.zeros((len(docs), len(names)), dtype=np.float32)
+    for i, own in enumerate(docs):
+        if len(own):
+            at = column[np.concatenate([of_word[w] for w in own])]
+            x[i, at[at >= 0]] = 1
     neutral = [set(s.format(kind[0]).split()) for kind in IDENTITIES for s in NEUTRAL]
-    base = [words for words, _ in rows] + neutral
+    named |= {len(docs) + n: words for n, words in enumerate(neutral)}
+    x = np.concatenate([x, matrix(neutral)])
     y = np.concatenate([y, np.zeros(len(neutral))])
-    pairs = [(i, other) for i, words in enumerate(base) for other in swaps(words)]
-    x = matrix(base)
+    pairs = [(i, other) for i, words in named.items() for other in swaps(words)]
     change = x[[i for i, _ in pairs]] - matrix([s for _, s in pairs])
     change = np.unique(change, axis=0) if len(change) else change
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / (y == 0).sum())
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        w32 = w.astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(x @ w32 + b, -30, 30)))
         g = (p - y) * each
-        moved = change @ w
-        grad = np.append(x.T @ g + 1e-4 * w + strength * 2 * (change.T @ moved) / max(1, len(change)), g.sum())
+        moved = change @ w32
+        grad = np.append(g.astype(np.float32) @ x + 1e-4 * w + strength * 2 * (moved @ change) / max(1, len(change)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         update = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - update[:-1], b - update[-1]
@@ -154,27 +170,28 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], names=batch.schema.names)
 
     rows = own.join(small, "key").select("key", "text", "label")
-    rows = rows.mapInArrow(shrink, rows.schema).withColumn("size", F.length("text"))
-    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text"), F.min("size").alias("size"))
-    from pyspark.sql import Window
-
-    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy(F.xxhash64("key"), "key")
-    return [(r["text"], r["label"]) for r in kept.select("text", "label").collect()]
+    rows = rows.mapInArrow(shrink, rows.schema).withColumn("size", F.length("text").cast("long"))
+    rows = cut(rows.groupBy("key", "label").agg(F.min_by("text", F.struct("size", "text")).alias("text"), F.min("size").alias("size")), "labelled")
+    by_hash = Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("key", F.sum("size").over(by_hash).alias("so_far"))  # of at most sum(sample) rows of two numbers
+    kept = rows.join(F.broadcast(sizes.where(F.col("so_far") <= chars)), "key").select("so_far", "text", "label").collect()
+    discard(rows)
+    return [(r["text"], r["label"]) for r in sorted(kept, key=lambda r: r["so_far"])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE, chars: int = SAMPLE_CHARS, **how) -> Model:
     rows = labelled(docs, labels, label, id_col, text_col, sample, chars, lambda t: " ".join(sorted(word_set(t))))
-    return fit_model([(set(t.split(" ")) - {""}, k) for t, k in rows], **how)
+    return fit_model(((set(t.split(" ")) - {""}, k) for t, k in rows), **how)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col`` (a column of that name is replaced): the chance of label 1, from the whole text."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
         one = sent.value.score
-        return pd.Series([one(x) for x in text], dtype="float64")
+        return pa.array([one(x.as_py()) for x in text], pa.float64())
 
     return docs.withColumn(out_col, scored(F.col(text_col)))
