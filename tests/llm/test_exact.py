@@ -160,14 +160,14 @@ def brute_hits(texts, items, window=10):
     out = []
     for text in texts:
         words, hit, found = tokens(text), set(), set()
-        for key, item in items:
+        for key, item in items:  # an item without an id hits but has no name
             own = tokens(item)
             size = min(window, len(own))
             for i in range(len(own) - size + 1 if size else 0):
                 for j in range(len(words) - size + 1):
                     if words[j : j + size] == own[i : i + size]:
                         hit.update(range(j, j + size))
-                        found.add(str(key))
+                        found.update(() if key is None else [str(key)])
         out.append((len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
 
@@ -175,14 +175,14 @@ def brute_hits(texts, items, window=10):
 def test_decontamination(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "b", "c", "dé", "E"])
-    items = [(n, " ".join(word() for _ in range(size))) for n, size in enumerate([1, 2, 3, 9, 10, 11, 14, 30, 30])] + [(20, None), (21, "!!"), (10, "a b, C")]
+    items = [(n, " ".join(word() for _ in range(size))) for n, size in enumerate([1, 2, 3, 9, 10, 11, 14, 30, 30])] + [(20, None), (21, "!!"), (10, "a b, C"), (None, "q1 q2 q3 q4"), (22, None)]
     passage = items[7][1]
-    given = [*EDGES, *(" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(60)), "x " * 50 + passage + " y" * 50, passage.upper() + "." + passage]
+    given = [*EDGES, *(" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(60)), "x " * 50 + passage + " y" * 50, "z q1, Q2 q3-q4 z", passage.upper() + "." + passage]
     items = [i for i in items if i[1] is None or len(i[1].split()) != 1]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").selectExpr("*", "1 id", "2 spans", "3 items")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     wanted = brute_hits(given, items)
-    for block in (decontam.BLOCK_WORDS, 25):
+    for block in (decontam.BLOCK_WORDS, 25, 12, 1):
         got = decontam.digest(decontam.find(df, benchmark, block_words=block)).orderBy("doc_id").collect()
         assert [tuple(r)[1:] for r in got] == wanted
     one = spark.createDataFrame([("w", "b")], "item_id string, text string")

@@ -96,11 +96,11 @@ def _secrets_sql() -> str:
 
 
 _DECONTAM = f"""with dw as (select doc_id, {_words('text')} w from documents),
-    iw as (select cast(item_id as varchar) item, {_words('text')} w from benchmark where item_id is not null),
+    iw as (select cast(item_id as varchar) item, {_words('text')} w from benchmark),
     p as (select distinct item, l, array_to_string(w[i:i+l-1], ' ') t from (select item, w, least({decontam.WINDOW}, len(w)) l, unnest(range(1, len(w) - least({decontam.WINDOW}, len(w)) + 2)) i from iw where len(w) > 0)),
     o as (select doc_id, i, l, item from (select doc_id, i, l, array_to_string(w[i:i+l-1], ' ') t from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) i from dw, (select distinct l from p))) join p using (l, t)),
     h as (select doc_id, count(distinct j) n_hit from (select distinct doc_id, unnest(range(i, i + l)) j from o) group by doc_id),
-    n as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from o) group by doc_id)
+    n as (select doc_id, count(item) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from o) group by doc_id)
     select dw.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated
     from dw left join h using (doc_id) left join n using (doc_id)"""
 
