@@ -336,7 +336,7 @@ def test_pipeline(spark):
     from textloom.llm import decontam, secrets
 
     assert decontam.digest(decontam.find(docs, read(spark, "benchmark", sf))).where("contaminated").count() == 0
-    assert secrets.digest(secrets.findings(docs)[0]).where("n_access + n_hex + n_assign > 0").count() == 0
+    assert secrets.digest(secrets.findings(docs, secrets.Ledger(spark))).where("n_access + n_hex + n_assign > 0").count() == 0
     out = corpus_pipeline.run(spark, sf)
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
     joined = out.join(docs, "doc_id").where(F.col("decoded_sha256") == F.sha2(F.col("text").cast("binary"), 256))

@@ -35,23 +35,44 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation of its past."""
+    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation of its past.
+
+    Its files go with :func:`discard`, or when the driver ends.
+    """
     small_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/textloom/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    _files(spark, path, "deleteOnExit")
+    return path
+
+
+def _files(spark: SparkSession, path: str, action: str, *how) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return getattr(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), action)(target, *how)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path, "exists")
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a frame that :func:`cut` returned; other frames are left alone."""
     path = getattr(df, "_textloom_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _files(spark, path, "delete", True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,14 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, embed_dedup, html_extract, license_scan, near_dedup, pii, quality, secrets, toxicity
-from .common import fold, table
+from .common import cut, discard, fold, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.findings(table(spark, sf_dir, "documents"))
+    ledger = secrets.Ledger(spark)
+    found = secrets.findings(table(spark, sf_dir, "documents"), ledger)
+    ledger.forget()  # the findings are written; only a ledger that is kept (secrets_second_run) has a second run
     return secrets.digest(found)
 
 
+def secrets_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger that is kept: after a run over all documents, a second one over two versions of each, under one changed rule.
+
+    ``pairs``: how many (blob, rule version) pairs of the row's blob the second run had to scan: the changed rule alone, or all for a new blob.
+    """
+    ledger, docs = secrets.Ledger(spark), table(spark, sf_dir, "documents").select("doc_id", "text")
+    discard(secrets.update(docs, ledger))
+    before = cut(ledger.read().select("blob"), "seen")
+    versions = docs.withColumn("version", F.lit(1)).unionByName(docs.withColumn("text", F.replace("text", F.lit("token"), F.lit("tolkien"))).withColumn("version", F.lit(2)))
+    versions = versions.select(F.struct("doc_id", "version").alias("path"), "text")
+    found = secrets.findings(versions, ledger, "path", rules=CHANGED)
+    ledger.forget()
+    counts = secrets.digest(found, "path", CHANGED)
+    pairs = found.select("path", "blob").join(before.withColumn("old", F.lit(1)), "blob", "left").select("path", F.when(F.col("old").isNull(), len(CHANGED)).otherwise(1).alias("pairs"))
+    return counts.join(pairs, "path").select("path.doc_id", "path.version", "n_assign", "n_access", "n_hex", "pairs")
+
+
+#: The rules with a changed one: values of eight characters or more.
+CHANGED = (secrets.Rule("assign", secrets.RULES[0].regex, 2, 8), *secrets.RULES[1:])
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
@@ -60,6 +83,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "secrets_second_run": secrets_second_run,
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
@@ -78,16 +102,16 @@ def _words(column: str) -> str:
     return rf"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def _secrets_sql() -> str:
+def _secrets_sql(rules=secrets.RULES, docs: str = "select doc_id, coalesce(text, '') t from documents") -> str:
     parts = []
-    for n, r in enumerate(secrets.RULES):
+    for n, r in enumerate(rules):
         regex = r.regex.replace("'", "''")
         parts.append(f"""select doc_id, {n} k, '{r.kind}' kind, regexp_extract_all(t, '{regex}', 0) m, regexp_extract_all(t, '{regex}', {r.group}) c,
             string_split_regex(t, '{regex}') g, {r.least} least from d where regexp_matches(t, '{regex}')""")
     base = ", ".join(f"'{r.kind}'" for r in secrets.RULES if r.base)
     counts = ", ".join(f"count(*) filter (kind = '{r.kind}') n_{r.kind}" for r in secrets.RULES if r.base)
     columns = ", ".join(f"coalesce(n_{r.kind}, 0) n_{r.kind}" for r in secrets.RULES if r.base)
-    return f"""with d as (select doc_id, coalesce(text, '') t from documents), f as ({' union all '.join(parts)}),
+    return f"""with d as ({docs}), f as ({' union all '.join(parts)}),
         i as (select *, unnest(range(1, len(m) + 1)) i from f),
         s as (select doc_id, k, kind, len(c[i]) size, least, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) as bigint) a, length(m[i]) n from i),
         o as (select *, kind || ':' || a || ':' || (a + n) x from s where size >= least),
@@ -112,4 +136,8 @@ _EMBEDDING = """with recursive v as (select vec_id, cast(embedding as double[])
     select e.vec_id, coalesce(n_links, 0) n_links, least(e.vec_id, coalesce(low, e.vec_id)) component_id, least(e.vec_id, coalesce(low, e.vec_id)) = e.vec_id kept
     from embeddings e left join c using (vec_id) left join n using (vec_id)"""
 
-SQL: dict[str, str] = {"op7_embedding_dedup": _EMBEDDING, "op1_secrets": _secrets_sql(), "op6_decontamination": _DECONTAM}
+_VERSIONS = "select {'d': doc_id, 'v': v} doc_id, case v when 1 then coalesce(text, '') else replace(coalesce(text, ''), 'token', 'tolkien') end t from documents, (values (1), (2)) w(v)"
+_SECOND = f"""select s.doc_id.d doc_id, s.doc_id.v as version, n_assign, n_access, n_hex, case when t in (select coalesce(text, '') from documents) then 1 else {len(CHANGED)} end pairs
+    from ({_secrets_sql(CHANGED, _VERSIONS)}) s join ({_VERSIONS}) x on s.doc_id = x.doc_id"""
+
+SQL: dict[str, str] = {"secrets_second_run": _SECOND, "op7_embedding_dedup": _EMBEDDING, "op1_secrets": _secrets_sql(), "op6_decontamination": _DECONTAM}

@@ -1,13 +1,15 @@
 """Secret scans over an incremental ledger of content-addressed blobs, in DataFrame operations only.
 
-Every version of every file is one row (``path``, ``text``); its blob is the SHA-256 of the text.  The ledger holds a row for
-each (blob, rule version) already scanned, with the findings.  A run groups the rows to distinct blobs, takes away
-the pairs that the ledger has, scans the rest once each, and joins the findings of old and new pairs back to all paths.
+Every version of every file is one row (``path``, ``text``); its blob is the SHA-256 of the text.  The ledger (:class:`Ledger`, a Parquet table in a
+folder that all machines share) holds for each blob the rule versions already scanned, with the findings.  A run takes the digests of
+all rows, looks up which (blob, rule version) pairs the ledger lacks, scans those once each, however many paths have the blob, appends them to the ledger, and
+joins the findings of old and new pairs back to all paths.  A rule whose meaning changes has another version, so its pairs are scanned
+anew and its old findings no longer count.  A run that fails has appended nothing, one that is repeated scans nothing twice.
 
 Rules are Java regular expressions without matches of no characters; matches of a rule are leftmost and do not overlap, and a match whose
 checked group is too short is dropped without another try.  Positions are code points, end exclusive.  They come from
 the lengths of the matches and of the pieces between them.  Null texts count as empty; empty tables give empty results; repeated rows
-each get their blob's findings.
+and rows with a null path each get their blob's findings; other columns, whatever their names, are not carried (``redact`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import cut, exists, remove, shared_path, texts
 
 
 @dataclass(frozen=True)
@@ -40,9 +42,28 @@ RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/= \t\r\n:,\\]*(?:-[A-Za-z0-9+/= \t\r\n:,\\]+){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----)?", base=False),
 )
 FINDINGS = "array<struct<start:int,kind:string,end:int>>"
+LEDGER = "blob string, rules array<string>, findings array<struct<rule:string,found:struct<start:int,kind:string,end:int>>>"
+
+
+class Ledger:
+    """The pairs of blob and rule version already scanned: a table at ``path``, to which each run appends its own."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        """``path`` must be in a folder that all machines share; without one, the ledger is a new one of the session's shared folder."""
+        self.spark, self.path = spark, path or shared_path(spark, "secret-ledger")
+
+    def read(self) -> DataFrame | None:
+        """The rows so far; None before the first run."""
+        return self.spark.read.schema(LEDGER).parquet(self.path) if exists(self.spark, self.path) else None
+
+    def append(self, fresh: DataFrame) -> None:
+        fresh.write.mode("append").parquet(self.path)
+
+    def forget(self) -> None:
+        remove(self.spark, self.path)
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -63,46 +84,63 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.regex), F.aggregate(parts, start, step)["found"]).otherwise(F.expr(f"cast(array() as {FINDINGS})"))
 
 
-def blobs_of(versions: DataFrame, path_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(path, blob) of every row, and (blob, text) of every distinct text."""
-    rows = texts(versions, path_col, text_col).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    return rows.select(F.col("id").alias("path"), "blob"), rows.select("blob", "text").dropDuplicates(["blob"])
+def blobs_of(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """(path, blob, text) of every row."""
+    return texts(versions, path_col, text_col).select(F.col("id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "text")
 
 
-def scan(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows ``(blob, rule, findings)`` for the pairs of blob and rule version that ``ledger`` lacks."""
+def scan(rows: DataFrame, seen: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows for the pairs of blob and rule version of ``rows`` (blob, text) that ``seen`` lacks."""
     every = F.array(*(F.lit(r.version) for r in rules))
-    todo = blobs.withColumn("todo", every)
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.expr("cast(array() as array<string>)"))))
-        todo = todo.where(F.size("todo") > 0)
-    each = F.array(*(F.when(F.array_contains("todo", r.version), F.struct(F.lit(r.version).alias("rule"), matches(F.col("text"), r).alias("findings"))) for r in rules))
-    return todo.select("blob", each.alias("each")).select("blob", F.inline(F.filter("each", lambda x: x.isNotNull())))
+    if seen is None:
+        todo = rows.select("blob", "text", every.alias("todo"))
+    else:  # digests first: texts move only where something is to be scanned
+        known = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
+        lacking = F.array_except(every, F.coalesce("known", F.expr("cast(array() as array<string>)")))
+        wanted = rows.select("blob").distinct().join(known, "blob", "left").select("blob", lacking.alias("todo")).where(F.size("todo") > 0)
+        todo = rows.select("blob", "text").join(wanted, "blob")
+    todo = todo.dropDuplicates(["blob"])
+    of = lambda r: F.transform(matches(F.col("text"), r), lambda x: F.struct(F.lit(r.version).alias("rule"), x.alias("found")))
+    each = [F.when(F.array_contains("todo", r.version), of(r)) for r in rules]
+    return todo.select("blob", F.col("todo").alias("rules"), F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("findings"))
+
+
+def by_blob(known: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings) of ledger rows for the blobs with findings of ``rules``, sorted by start, then by the order of ``rules``."""
+    order = F.create_map(*(x for n, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(n))))
+    own = F.transform(F.filter("findings", lambda x: x["rule"].isin([r.version for r in rules])), lambda x: x["found"])
+    some = known.select("blob", own.alias("findings")).where(F.size("findings") > 0)
+    ranked = F.array_sort(F.flatten(F.collect_list("findings")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(order[a["kind"]] - order[b["kind"]]))
+    return some.groupBy("blob").agg(ranked.alias("findings"))
+
 
+def update(versions: DataFrame, ledger: Ledger, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One run: scans what ``ledger`` lacks, appends it there, and returns ``(blob, findings)`` of the blobs with findings, written to the shared folder."""
+    ledger.append(scan(blobs_of(versions, path_col, text_col), ledger.read(), rules))
+    return cut(by_blob(ledger.read(), rules), "secrets")
 
-def findings(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """``(path, blob, findings)`` for every row, and the rows to append to the ledger.
 
-    Findings are sorted by start, then by the order of ``rules``.  The join back splits a blob with very many
-    paths among tasks (skew join); the side with findings holds one row a blob, only blobs with findings.
+def findings(versions: DataFrame, ledger: Ledger, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(path, blob, findings)`` for every row, after a run over ``ledger``.
+
+    The join moves digests, not texts, and stands alone, so that a blob with very many paths can be split among tasks (skew join).
     """
-    paths, blobs = blobs_of(versions, path_col, text_col)
-    fresh = scan(blobs, ledger, rules)
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule").isin([r.version for r in rules])).select("blob", "rule", "findings"))
-    order = F.create_map(*(x for n, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(n))))
-    ranked = F.array_sort(F.flatten(F.collect_list("findings")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(order[a["kind"]] - order[b["kind"]]))
-    by_blob = known.where(F.size("findings") > 0).groupBy("blob").agg(ranked.alias("findings"))
-    joined = paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
-    return joined, fresh
+    found = update(versions, ledger, path_col, text_col, rules)
+    joined = blobs_of(versions, path_col, text_col).select("path", "blob").join(found, "blob", "left")
+    return joined.select("path", "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
+
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); other columns and rows without findings stay as they are.
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
-    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); other columns and rows without findings stay as they are."""
-    found, _ = findings(docs, id_col, text_col, **how)
-    found = found.where(F.size("findings") > 0).dropDuplicates(["path", "blob"]).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    Findings come back by blob, so rows with a null or repeated id are redacted too.
+    """
+    own = ledger or Ledger(docs.sparkSession)
+    found = update(docs, own, id_col, text_col, rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    if ledger is None:
+        own.forget()
     rows = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    rows = rows.join(found, (F.col(id_col) == F.col("_path")) & (F.col("_own") == F.col("_blob")), "left")
+    rows = rows.join(found, F.col("_own") == F.col("_blob"), "left")
     text = F.col(text_col)
 
     def step(state, x):
