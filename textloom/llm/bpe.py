@@ -1,34 +1,41 @@
 """Byte-level BPE in DataFrame operations: ranked merges folded over the bytes of distinct words.
 
-The rank map is a literal of the session (a SQL variable): the ranks of all pairs of pieces that join to a piece, laid out so that looking
+The rank map is a literal of the session (SQL variables): the ranks of all pairs of pieces that join to a piece, laid out so that looking
 one up costs three array accesses.  A text is split by the tokenizer's pattern.  Words are counted over all documents; the most frequent, all those
-of a count that leaves ``FREQUENT`` at most, are folded once and their ids become a second bounded
-literal; a rarer word is folded where it stands.  The fold is the same expression for both: of the array of a word's bytes the
-adjacent pieces with the lowest rank are merged, the leftmost first, until no two have a rank.
+of a count that leaves ``frequent`` at most, are folded once, and their ids become a second bounded literal, a table with two places for each
+word; a word that is not there is folded where it stands, by the same expression: of the array of a word's bytes the adjacent pieces with the lowest rank are
+merged, the leftmost first, until no two have a rank.
 
-Decoding concatenates the pieces of the ids (as hex digits, which SQL can join, then once to binary).
+In the fold a piece is one character (its id plus ``base``), so that an array of pieces is a string, and a merge a few operations on strings.  A
+word of more than ``LONG`` bytes is first cut where no piece of the vocabulary has the two bytes at the cut, as no merge can reach across; in a part that
+is still long, a step merges all occurrences of the lowest pair at once if no pair of a lower rank arises between them (checked), so that runs
+such as one letter repeated take few steps.
 
-Null and empty texts have no ids.  Special tokens are ordinary text.  The result keeps one row per input row.  A word without any
-break costs the square of its length, as merging is repeated until nothing merges.
+Decoding concatenates the pieces of the ids.
+
+Null and empty texts have no ids.  Special tokens are ordinary text.  The result keeps one row per input row, repeated rows and null ids included; other
+columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, discard, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT, COUNTS = 1 << 18, 4096
+FREQUENT, COUNTS, LONG = 1 << 19, 4096, 200
 #: Letters and numbers of Unicode 16, which the tokenizer's pattern knows, that Unicode 13, which Java's classes know, lacks.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3
@@ -68,65 +75,82 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-class Literal:
-    """A bounded table of the session as a literal, looked up by hash of its first field."""
-
-    def __init__(self, rows: DataFrame, name: str, buckets: int):
-        """``rows``: (key, value), each key once."""
-        spark = rows.sparkSession
-        self.name, self.buckets = name, buckets
-        filled = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).agg(F.collect_list(F.struct("key", "value")).alias("own"))
-        every = spark.range(buckets).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
-        kind = f"array<array<struct<key:{rows.schema['key'].dataType.simpleString()},value:{rows.schema['value'].dataType.simpleString()}>>>"
-        whole = every.agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("own", F.expr(f"cast(array() as {kind[6:-1]})")).alias("own")))).alias("all"))
-        whole.select(F.transform("all", lambda x: x["own"]).alias("v")).createOrReplaceTempView(f"{name}_view")
-        spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {kind}")
-        spark.sql(f"SET VAR {name} = (SELECT v FROM {name}_view)")
-        spark.catalog.dropTempView(f"{name}_view")
-        self.column = F.expr(name)
-
-    def __call__(self, key: Column) -> Column:
-        bucket = F.get(self.column, F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
-        return F.get(F.filter(bucket, lambda x: x["key"] == key), F.lit(0))["value"]
-
-
-def _variable(spark: SparkSession, name: str, values, kind: str) -> Column:
-    """A fixed array as a session variable, which plans hold as a literal."""
-    import pyarrow as pa
-
-    own = pa.array([values], pa.list_({"int": pa.int32(), "string": pa.string()}[kind]))
-    spark.createDataFrame(pa.table({"v": own})).createOrReplaceTempView(f"{name}_view")
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} array<{kind}>")
+def _variable(spark: SparkSession, name: str, values, kind: pa.DataType) -> Column:
+    """A fixed array as a session variable, which plans hold as a literal; plans made from it stay as they are when it is set anew or dropped."""
+    name = f"textloom_{name}"
+    spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(kind)) if not isinstance(values, pa.Array) else pa.ListArray.from_arrays([0, len(values)], values)})).createOrReplaceTempView(f"{name}_view")
+    sql = {pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}[kind]
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} array<{sql}>")
     spark.sql(f"SET VAR {name} = (SELECT v FROM {name}_view)")
     spark.catalog.dropTempView(f"{name}_view")
     return F.expr(name)
 
 
+class Literal:
+    """A bounded table of words and their ids as literals.  A word stands at one of two places that its hash names."""
+
+    def __init__(self, rows: DataFrame, label: str):
+        """``rows``: (word, ids, count), each word once."""
+        spark, self.names = rows.sparkSession, [f"{label}_{n}" for n in ("places", "words", "ids")]
+        table = rows.select("word", "ids", "count", F.xxhash64("word").alias("hash")).toArrow().sort_by([("count", "descending"), ("word", "ascending")]).combine_chunks()
+        n = len(table)
+        self.mask = (1 << max(4, (2 * n).bit_length())) - 1
+        hashed = table["hash"].to_numpy().astype(np.int64)
+        places = np.full(self.mask + 1, -1, dtype=np.int32)
+        left = np.arange(n)
+        for spot in (hashed & self.mask, (hashed >> 32) & self.mask):
+            free = left[places[spot[left]] < 0]
+            _, first = np.unique(spot[free], return_index=True)
+            places[spot[free[first]]] = free[first]
+            left = np.setdiff1d(left, free[first])  # a word whose places are both taken is folded where it stands
+        whole = lambda c: table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]
+        words, ids = whole("word").cast(pa.string()), whole("ids").cast(pa.list_(pa.int32()))
+        kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()))
+        self.places, self.words, self.ids = (_variable(spark, name, v, kind) for name, v, kind in zip(self.names, (pa.array(places), words, ids), kinds, strict=True))
+
+    def __call__(self, word: Column) -> Column:
+        """The ids of ``word``, or null."""
+
+        def at(place: Column) -> Column:
+            return let(F.get(self.places, place.bitwiseAND(F.lit(self.mask).cast("long")).cast("int")), lambda i: F.when(F.get(self.words, i) == word, F.get(self.ids, i)))
+
+        return let(F.xxhash64(word), lambda h: F.coalesce(at(h), at(F.shiftright(h, 32))))
+
+    def drop(self, spark: SparkSession) -> None:
+        for name in self.names:
+            spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS textloom_{name}")
+
+
 @lru_cache(2)
-def rank_table(path: str) -> tuple[list[str], int, list[int], list[int], list[int], list[int]]:
+def rank_table(path: str) -> dict:
     """What the fold needs of a rank file.
 
-    The pieces as hex digits by id; a modulus at which the CRCs of the single bytes differ, and the bytes' ids by it; and the ranks of all pairs of
-    pieces that join to a piece, by row displacement: the rank of (a, b) stands at ``shift[a] + b`` if ``owner`` is ``a`` there.
+    The pieces by id; ``base``, so that ``base + id`` is the character of a piece; a modulus at which the CRCs of the single bytes differ, and the bytes' characters by it;
+    which two bytes stand side by side in a piece; and the ranks of all pairs of pieces that join to a piece, by row displacement: the character of (a, b) stands at
+    ``shift[character of a] + character of b`` if ``owner`` is the character of a there.
     """
     ranks = load(path)
     assert sorted(ranks.values()) == list(range(len(ranks))), "ranks are 0, 1, 2, ..."
+    base = 0x801 if 0x801 + len(ranks) < 0xD800 else 0x10001  # the character before is the mark at both ends
     pieces = [b""] * len(ranks)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     crcs = [zlib.crc32(bytes([k])) for k in range(256)]
     modulus = next(m for m in range(256, 100_000) if len({c % m for c in crcs}) == 256)
-    singles = [-1] * modulus
+    singles, numbers = [""] * modulus, [0] * modulus
     for k, c in enumerate(crcs):
-        singles[c % modulus] = ranks[bytes([k])]
+        singles[c % modulus], numbers[c % modulus] = chr(base + ranks[bytes([k])]), k
+    beside = np.zeros(1 << 16, dtype=np.int32)
     rows: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
+            beside[piece[i - 1] << 8 | piece[i]] = 1
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
                 rows.setdefault(left, {})[right] = rank
-    shift = [0] * len(ranks)
     size = 3 * len(ranks) + 8 * sum(map(len, rows.values()))
+    shift = np.full(base + len(ranks), 1 << 30, dtype=np.int32)
+    shift[base:] = -base  # rows without entries: nothing is theirs wherever they stand
     owner, value = np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
     free, hint = owner < 0, {}
     for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
@@ -140,50 +164,93 @@ def rank_table(path: str) -> tuple[list[str], int, list[int], list[int], list[in
             begin += 512
         at = int(starts[np.argmax(fits)])
         hint[len(row).bit_length()] = max(0, at - 64)
-        shift[left] = at
+        shift[base + left] = at - base
         owner[at + rights], value[at + rights], free[at + rights] = left, np.fromiter(row.values(), dtype=np.int32), False
     last = int(np.flatnonzero(~free).max(initial=0)) + 1
-    return [x.hex().upper() for x in pieces], modulus, singles, shift, owner[:last].tolist(), value[:last].tolist()
+    owner = np.where(owner[:last] < 0, -1, owner[:last] + base)
+    value = [chr(base + v) if v >= 0 else "" for v in value[:last].tolist()]
+    return {"pieces": pieces, "base": base, "modulus": modulus, "singles": singles, "numbers": numbers, "beside": beside.tolist(), "shift": shift.tolist(), "owner": owner.tolist(), "value": value,
+            "ascii": "".join(chr(base + ranks[bytes([k])]) for k in range(128))}
 
 
 class Ranks:
     """The rank map of a tokenizer as literals, and the fold over them."""
 
+    NONE = "\U0010ffff"  # the rank of two pieces that do not join
+
     def __init__(self, spark: SparkSession, path: str):
-        pieces, self.modulus, singles, shift, owner, value = rank_table(path)
-        self.pieces = _variable(spark, "textloom_pieces", pieces, "string")
-        self.singles, self.shift, self.owner, self.value = (_variable(spark, f"textloom_{n}", v, "int") for n, v in (("singles", singles), ("shift", shift), ("owner", owner), ("value", value)))
+        t = rank_table(path)
+        self.base, self.modulus, self.ascii, self.mark = t["base"], t["modulus"], t["ascii"], chr(t["base"] - 1)
+        label = f"{zlib.crc32(path.encode()):08x}"
+        kinds = {"pieces": pa.binary(), "singles": pa.string(), "numbers": pa.int32(), "beside": pa.int32(), "shift": pa.int32(), "owner": pa.int32(), "value": pa.string()}
+        for n, kind in kinds.items():
+            setattr(self, n, _variable(spark, f"{n}_{label}", t[n], kind))
+        self.pieces = self.pieces.cast("array<string>")
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The rank of two pieces joined, or null."""
-        at = F.get(self.shift, a) + b
-        return F.when(F.get(self.owner, at) == a, F.get(self.value, at))
+        """The character of two pieces joined, or ``NONE``."""
+        found = let(F.ascii(a), lambda c: let(F.get(self.shift, c) + F.ascii(b), lambda at: F.when(F.get(self.owner, at) == c, F.get(self.value, at))))
+        return F.coalesce(found, F.lit(self.NONE))
 
-    def fold(self, word: Column) -> Column:
-        """The ids of ``word`` (binary, not empty): its bytes, merged by rank, the leftmost of the lowest first.
+    def state(self, ids: Column, ranks: Column) -> Column:
+        """``ids`` between two marks, the ranks of its neighbours, and the lowest of them."""
+        return let(ranks, lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.array_min(F.split(r, "")).alias("low")))
 
-        The ids stand between two marks (-1) that pair with nothing; beside them stand the ranks of all neighbours, and a merge looks up two of them anew.
-        """
-        size = F.length(word)
-        byte = lambda i: F.get(self.singles, (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int"))
-        mark = F.array(F.lit(-1))
-        ids = F.concat(mark, F.transform(F.sequence(F.lit(1), size), byte), mark)
-        begin = let(ids, lambda x: F.struct(x.alias("ids"), F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: self.rank(F.get(x, i), F.get(x, i + 1))).alias("ranks")))
+    def begin(self, ids: Column) -> Column:
+        def all_ranks(c: Column) -> Column:
+            return F.array_join(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: self.rank(x, F.get(c, i + 1))), "")
+
+        return self.state(ids, let(F.split(ids, ""), all_ranks))
+
+    def one(self, s: Column) -> Column:
+        """``s`` after the leftmost lowest pair is merged."""
+        rest = 1 << 30
 
-        def merge(s: Column, p: Column) -> Column:
-            new, n = F.get(s["ranks"], p - 1), F.size(s["ids"])
-            around = F.array(self.rank(F.get(s["ids"], p - 2), new), self.rank(new, F.get(s["ids"], p + 1)))
-            return F.struct(
-                F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(new), F.slice(s["ids"], p + 2, n)).alias("ids"),
-                F.concat(F.slice(s["ranks"], F.lit(1), p - 2), around, F.slice(s["ranks"], p + 2, n)).alias("ranks"),
-            )
+        def merged(p: Column) -> Column:
+            ids, ranks, new = s["ids"], s["ranks"], s["low"]
+            after = F.substring(ids, p + 2, F.lit(rest))
+            around = (self.rank(F.substring(ids, p - 1, F.lit(1)), new), self.rank(new, F.substring(after, 1, 1)))
+            return self.state(F.concat(F.substring(ids, F.lit(1), p - 1), new, after), F.concat(F.substring(ranks, F.lit(1), p - 2), *around, F.substring(ranks, p + 2, F.lit(rest))))
 
-        def step(s: Column, _: Column) -> Column:
-            place = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")
-            return let(place, lambda p: F.when(p.isNull(), s).otherwise(merge(s, p)))
+        return let(F.instr(s["ranks"], s["low"]), merged)
 
-        done = F.aggregate(F.sequence(F.lit(1), size), begin, step)["ids"]
-        return let(done, lambda x: F.slice(x, F.lit(2), F.size(x) - 2))
+    def all(self, s: Column) -> Column:
+        """``s`` after all occurrences of the lowest pair are merged, if that is what merging them one by one gives; else as :meth:`one`."""
+
+        def tried(p: Column) -> Column:
+            first = F.substring(s["ids"], p, F.lit(1))
+            new = self.begin(F.replace(s["ids"], F.substring(s["ids"], p, F.lit(2)), s["low"]))
+            return let(new, lambda t: F.when((t["low"] > s["low"]) & (self.rank(s["low"], first) > s["low"]), t).otherwise(self.one(s)))
+
+        return let(F.instr(s["ranks"], s["low"]), tried)
+
+    def merged(self, ids: Column, size: Column, step) -> Column:
+        done = F.aggregate(F.sequence(F.lit(1), size), self.begin(F.concat(F.lit(self.mark), ids, F.lit(self.mark))), lambda s, _: F.when(s["low"] == self.NONE, s).otherwise(step(s)))
+        return let(done["ids"], lambda x: F.transform(F.split(F.substring(x, F.lit(2), F.length(x) - 2), ""), lambda c: F.ascii(c) - self.base))
+
+    def short(self, ids: Column) -> Column:
+        return self.merged(ids, F.length(ids), self.one)
+
+    def parts(self, word: Column) -> Column:
+        """The characters of ``word`` in parts between which no merge can reach."""
+        every = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int"))
+
+        def cut_up(c: Column) -> Column:
+            joined = lambda x, i: F.get(self.beside, F.get(self.numbers, x) * 256 + F.get(self.numbers, F.get(c, i + 1))) == 0
+            return F.split(F.array_join(F.transform(c, lambda x, i: F.when(joined(x, i), F.concat(F.get(self.singles, x), F.lit(" "))).otherwise(F.get(self.singles, x))), ""), " ")
+
+        return let(every, cut_up)
+
+    def fold(self, text: Column) -> Column:
+        """The ids of a word (not empty): its bytes, merged by rank, the leftmost of the lowest first."""
+        word = text.cast("binary")
+        byte = lambda i: F.get(self.singles, (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int"))
+        plain = F.translate(text, "".join(map(chr, range(128))), self.ascii)
+        bytewise = F.array_join(F.transform(F.sequence(F.lit(1), F.length(word)), byte), "")
+        long = lambda x: F.when(F.length(x) <= LONG, self.short(x)).otherwise(self.merged(x, F.length(x), self.all))
+        return F.when(F.length(word) > LONG, F.flatten(F.transform(self.parts(word), long))).otherwise(
+            let(F.when(F.length(text) == F.length(word), plain).otherwise(bytewise), self.short)
+        )
 
 
 class Tokenizer:
@@ -207,15 +274,17 @@ class Tokenizer:
             if total + words > self.frequent:
                 break
             least, total = n, total + words
-        chosen = counted.where(F.col("count") >= least).select("word")
-        known = Literal(chosen.select(F.col("word").alias("key"), self.ranks.fold(F.col("word").cast("binary")).alias("value")), "textloom_frequent", max(16, 1 << (total.bit_length())))
+        chosen = counted.where((F.col("count") >= least) & (F.length("word") <= LONG))
+        known = Literal(chosen.select("word", self.ranks.fold(F.col("word")).alias("ids"), "count"), f"frequent_{uuid.uuid4().hex[:8]}")
+        ids = F.flatten(F.transform(self.words(F.col("text")), lambda w: F.coalesce(known(w), self.ranks.fold(w))))
+        out = rows.select("id", "text", ids.alias("ids"))
+        known.drop(self.spark)  # the plan has the values
         discard(counted)
-        ids = F.flatten(F.transform(self.words(F.col("text")), lambda w: F.coalesce(known(w), self.ranks.fold(w.cast("binary")))))
-        return rows.select("id", "text", ids.alias("ids"))
+        return out
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.ranks.pieces, i)), ""))
+        return F.array_join(F.transform(ids, lambda i: F.get(self.ranks.pieces, i)), "").cast("binary")
 
 
 def digest(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id") -> DataFrame:
