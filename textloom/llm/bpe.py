@@ -1,7 +1,7 @@
 """Byte-level BPE in DataFrame operations: ranked merges folded over the bytes of distinct words.
 
 The rank map is a literal of the session (SQL variables): the ranks of all pairs of pieces that join to a piece, laid out so that looking
-one up costs three array accesses.  A text is split by the tokenizer's pattern.  Words are counted over all documents; the most frequent, all those
+one up costs two array accesses.  A text is split by the tokenizer's pattern.  Words are counted over all documents; the most frequent, all those
 of a count that leaves ``frequent`` at most, are folded once, and their ids become a second bounded literal, a table with two places for each
 word; a word that is not there is folded where it stands, by the same expression: of the array of a word's bytes the adjacent pieces with the lowest rank are
 merged, the leftmost first, until no two have a rank.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT, COUNTS, LONG = 1 << 19, 4096, 200
+FREQUENT, COUNTS, LONG = 1 << 20, 4096, 200
 #: Letters and numbers of Unicode 16, which the tokenizer's pattern knows, that Unicode 13, which Java's classes know, lacks.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3
@@ -75,59 +75,54 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _variable(spark: SparkSession, name: str, values, kind: pa.DataType) -> Column:
+def _variable(spark: SparkSession, name: str, values: pa.Array, kind: str) -> Column:
     """A fixed array as a session variable, which plans hold as a literal; plans made from it stay as they are when it is set anew or dropped."""
     name = f"textloom_{name}"
-    spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(kind)) if not isinstance(values, pa.Array) else pa.ListArray.from_arrays([0, len(values)], values)})).createOrReplaceTempView(f"{name}_view")
-    sql = {pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}[kind]
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} array<{sql}>")
+    spark.createDataFrame(pa.table({"v": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)})).createOrReplaceTempView(f"{name}_view")
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} array<{kind}>")
     spark.sql(f"SET VAR {name} = (SELECT v FROM {name}_view)")
     spark.catalog.dropTempView(f"{name}_view")
     return F.expr(name)
 
 
 class Literal:
-    """A bounded table of words and their ids as literals.  A word stands at one of two places that its hash names."""
+    """A bounded table of words and their ids as a literal.  A word stands at one of two places that its hash names."""
 
-    def __init__(self, rows: DataFrame, label: str):
+    def __init__(self, rows: DataFrame, name: str):
         """``rows``: (word, ids, count), each word once."""
-        spark, self.names = rows.sparkSession, [f"{label}_{n}" for n in ("places", "words", "ids")]
-        table = rows.select("word", "ids", "count", F.xxhash64("word").alias("hash")).toArrow().sort_by([("count", "descending"), ("word", "ascending")]).combine_chunks()
+        table = rows.select("word", "ids", "count", F.xxhash64("word").alias("hash")).toArrow().sort_by([("count", "descending"), ("word", "ascending")])
         n = len(table)
-        self.mask = (1 << max(4, (2 * n).bit_length())) - 1
+        self.name, self.mask = name, (1 << max(4, (2 * n).bit_length())) - 1
         hashed = table["hash"].to_numpy().astype(np.int64)
-        places = np.full(self.mask + 1, -1, dtype=np.int32)
+        places = np.full(self.mask + 1, -1, dtype=np.int64)
         left = np.arange(n)
         for spot in (hashed & self.mask, (hashed >> 32) & self.mask):
             free = left[places[spot[left]] < 0]
             _, first = np.unique(spot[free], return_index=True)
             places[spot[free[first]]] = free[first]
             left = np.setdiff1d(left, free[first])  # a word whose places are both taken is folded where it stands
-        whole = lambda c: table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]
-        words, ids = whole("word").cast(pa.string()), whole("ids").cast(pa.list_(pa.int32()))
-        kinds = (pa.int32(), pa.string(), pa.list_(pa.int32()))
-        self.places, self.words, self.ids = (_variable(spark, name, v, kind) for name, v, kind in zip(self.names, (pa.array(places), words, ids), kinds, strict=True))
+        taken = pa.array(places, mask=places < 0)
+        kinds = {"word": pa.string(), "ids": pa.list_(pa.int32())}
+        entries = [table[k].cast(kind).combine_chunks().take(taken) for k, kind in kinds.items()]
+        entries = pa.StructArray.from_arrays(entries, fields=[pa.field(k, kind) for k, kind in kinds.items()], mask=pa.array(places < 0))
+        self.table = _variable(rows.sparkSession, name, entries, "struct<word:string,ids:array<int>>")
 
     def __call__(self, word: Column) -> Column:
         """The ids of ``word``, or null."""
-
-        def at(place: Column) -> Column:
-            return let(F.get(self.places, place.bitwiseAND(F.lit(self.mask).cast("long")).cast("int")), lambda i: F.when(F.get(self.words, i) == word, F.get(self.ids, i)))
-
-        return let(F.xxhash64(word), lambda h: F.coalesce(at(h), at(F.shiftright(h, 32))))
+        at = lambda h: let(F.get(self.table, h.bitwiseAND(F.lit(self.mask).cast("long")).cast("int")), lambda x: F.when(x["word"] == word, x["ids"]))
+        return F.coalesce(at(F.xxhash64(word)), at(F.shiftright(F.xxhash64(word), 32)))
 
     def drop(self, spark: SparkSession) -> None:
-        for name in self.names:
-            spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS textloom_{name}")
+        spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS textloom_{self.name}")
 
 
 @lru_cache(2)
 def rank_table(path: str) -> dict:
     """What the fold needs of a rank file.
 
-    The pieces by id; ``base``, so that ``base + id`` is the character of a piece; a modulus at which the CRCs of the single bytes differ, and the bytes' characters by it;
-    which two bytes stand side by side in a piece; and the ranks of all pairs of pieces that join to a piece, by row displacement: the character of (a, b) stands at
-    ``shift[character of a] + character of b`` if ``owner`` is the character of a there.
+    The pieces by id; ``base``, so that ``base + id`` is the character of a piece; a modulus at which the CRCs of the single bytes differ, and the bytes by it; the characters of
+    the bytes; by two bytes, the character of the piece they join to, and whether they stand side by side in any piece; and the ranks of all pairs of pieces that
+    join to a piece, by row displacement: the characters of a and of (a, b) joined stand at ``shift[character of a] + character of b``.
     """
     ranks = load(path)
     assert sorted(ranks.values()) == list(range(len(ranks))), "ranks are 0, 1, 2, ..."
@@ -137,9 +132,8 @@ def rank_table(path: str) -> dict:
         pieces[rank] = piece
     crcs = [zlib.crc32(bytes([k])) for k in range(256)]
     modulus = next(m for m in range(256, 100_000) if len({c % m for c in crcs}) == 256)
-    singles, numbers = [""] * modulus, [0] * modulus
-    for k, c in enumerate(crcs):
-        singles[c % modulus], numbers[c % modulus] = chr(base + ranks[bytes([k])]), k
+    numbers = np.zeros(modulus, dtype=np.int32)
+    numbers[[c % modulus for c in crcs]] = np.arange(256)
     beside = np.zeros(1 << 16, dtype=np.int32)
     rows: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
@@ -167,10 +161,14 @@ def rank_table(path: str) -> dict:
         shift[base + left] = at - base
         owner[at + rights], value[at + rights], free[at + rights] = left, np.fromiter(row.values(), dtype=np.int32), False
     last = int(np.flatnonzero(~free).max(initial=0)) + 1
-    owner = np.where(owner[:last] < 0, -1, owner[:last] + base)
-    value = [chr(base + v) if v >= 0 else "" for v in value[:last].tolist()]
-    return {"pieces": pieces, "base": base, "modulus": modulus, "singles": singles, "numbers": numbers, "beside": beside.tolist(), "shift": shift.tolist(), "owner": owner.tolist(), "value": value,
-            "ascii": "".join(chr(base + ranks[bytes([k])]) for k in range(128))}
+    pairs = [chr(base + a) + chr(base + c) if a >= 0 else None for a, c in zip(owner[:last].tolist(), value[:last].tolist(), strict=True)]
+    singles = [ranks[bytes([k])] for k in range(256)]
+    two = [chr(base + r) if r is not None else Ranks.NONE for r in (ranks.get(bytes([i, j])) for i in range(256) for j in range(256))]
+    arrays = {
+        "pieces": (pa.array(pieces, pa.binary()), "binary"), "numbers": (pa.array(numbers), "int"), "singles": (pa.array([chr(base + r) for r in singles]), "string"),
+        "two": (pa.array(two), "string"), "beside": (pa.array(beside), "int"), "shift": (pa.array(shift), "int"), "pairs": (pa.array(pairs), "string"),
+    }
+    return {"base": base, "modulus": modulus, "arrays": arrays}
 
 
 class Ranks:
@@ -180,16 +178,15 @@ class Ranks:
 
     def __init__(self, spark: SparkSession, path: str):
         t = rank_table(path)
-        self.base, self.modulus, self.ascii, self.mark = t["base"], t["modulus"], t["ascii"], chr(t["base"] - 1)
+        self.base, self.modulus, self.mark = t["base"], t["modulus"], F.lit(chr(t["base"] - 1))
         label = f"{zlib.crc32(path.encode()):08x}"
-        kinds = {"pieces": pa.binary(), "singles": pa.string(), "numbers": pa.int32(), "beside": pa.int32(), "shift": pa.int32(), "owner": pa.int32(), "value": pa.string()}
-        for n, kind in kinds.items():
-            setattr(self, n, _variable(spark, f"{n}_{label}", t[n], kind))
+        for name, (values, kind) in t["arrays"].items():
+            setattr(self, name, _variable(spark, f"{name}_{label}", values, kind))
         self.pieces = self.pieces.cast("array<string>")
 
     def rank(self, a: Column, b: Column) -> Column:
         """The character of two pieces joined, or ``NONE``."""
-        found = let(F.ascii(a), lambda c: let(F.get(self.shift, c) + F.ascii(b), lambda at: F.when(F.get(self.owner, at) == c, F.get(self.value, at))))
+        found = let(F.get(self.pairs, F.get(self.shift, F.ascii(a)) + F.ascii(b)), lambda x: F.when(F.startswith(x, a), F.substring(x, 2, 1)))
         return F.coalesce(found, F.lit(self.NONE))
 
     def state(self, ids: Column, ranks: Column) -> Column:
@@ -197,11 +194,19 @@ class Ranks:
         return let(ranks, lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.array_min(F.split(r, "")).alias("low")))
 
     def begin(self, ids: Column) -> Column:
+        """The state of pieces ``ids``, marks included."""
+
         def all_ranks(c: Column) -> Column:
             return F.array_join(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, i: self.rank(x, F.get(c, i + 1))), "")
 
         return self.state(ids, let(F.split(ids, ""), all_ranks))
 
+    def begin_bytes(self, numbers: Column) -> Column:
+        """The state of single bytes."""
+        ids = F.array_join(F.transform(numbers, lambda x: F.get(self.singles, x)), "")
+        ranks = F.array_join(F.transform(numbers, lambda x, i: F.get(self.two, x * 256 + F.get(numbers, i + 1))), "", "")  # the last byte has none after it
+        return self.state(F.concat(self.mark, ids, self.mark), F.concat(F.lit(self.NONE), ranks, F.lit(self.NONE)))
+
     def one(self, s: Column) -> Column:
         """``s`` after the leftmost lowest pair is merged."""
         rest = 1 << 30
@@ -224,33 +229,28 @@ class Ranks:
 
         return let(F.instr(s["ranks"], s["low"]), tried)
 
-    def merged(self, ids: Column, size: Column, step) -> Column:
-        done = F.aggregate(F.sequence(F.lit(1), size), self.begin(F.concat(F.lit(self.mark), ids, F.lit(self.mark))), lambda s, _: F.when(s["low"] == self.NONE, s).otherwise(step(s)))
+    def merged(self, begin: Column, size: Column, step) -> Column:
+        """The ids after all merges."""
+        done = F.aggregate(F.sequence(F.lit(1), size), begin, lambda s, _: F.when(s["low"] == self.NONE, s).otherwise(step(s)))
         return let(done["ids"], lambda x: F.transform(F.split(F.substring(x, F.lit(2), F.length(x) - 2), ""), lambda c: F.ascii(c) - self.base))
 
-    def short(self, ids: Column) -> Column:
-        return self.merged(ids, F.length(ids), self.one)
-
-    def parts(self, word: Column) -> Column:
-        """The characters of ``word`` in parts between which no merge can reach."""
-        every = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int"))
-
-        def cut_up(c: Column) -> Column:
-            joined = lambda x, i: F.get(self.beside, F.get(self.numbers, x) * 256 + F.get(self.numbers, F.get(c, i + 1))) == 0
-            return F.split(F.array_join(F.transform(c, lambda x, i: F.when(joined(x, i), F.concat(F.get(self.singles, x), F.lit(" "))).otherwise(F.get(self.singles, x))), ""), " ")
+    def numbers_of(self, word: Column) -> Column:
+        """The bytes of a binary as numbers."""
+        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(self.numbers, (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int")))
 
-        return let(every, cut_up)
+    def parts(self, numbers: Column) -> Column:
+        """The characters of bytes in parts between which no merge can reach."""
+        apart = lambda x, i: F.get(self.beside, x * 256 + F.get(numbers, i + 1)) == 0
+        return F.split(F.array_join(F.transform(numbers, lambda x, i: F.when(apart(x, i), F.concat(F.get(self.singles, x), F.lit(" "))).otherwise(F.get(self.singles, x))), ""), " ")
 
     def fold(self, text: Column) -> Column:
         """The ids of a word (not empty): its bytes, merged by rank, the leftmost of the lowest first."""
         word = text.cast("binary")
-        byte = lambda i: F.get(self.singles, (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int"))
-        plain = F.translate(text, "".join(map(chr, range(128))), self.ascii)
-        bytewise = F.array_join(F.transform(F.sequence(F.lit(1), F.length(word)), byte), "")
-        long = lambda x: F.when(F.length(x) <= LONG, self.short(x)).otherwise(self.merged(x, F.length(x), self.all))
-        return F.when(F.length(word) > LONG, F.flatten(F.transform(self.parts(word), long))).otherwise(
-            let(F.when(F.length(text) == F.length(word), plain).otherwise(bytewise), self.short)
-        )
+        numbers = F.when(F.length(text) == F.length(word), F.transform(F.split(text, ""), F.ascii)).otherwise(self.numbers_of(word))
+        begin = lambda x: self.begin(F.concat(self.mark, x, self.mark))
+        part = lambda x: F.when(F.length(x) <= LONG, self.merged(begin(x), F.length(x), self.one)).otherwise(self.merged(begin(x), F.length(x), self.all))
+        long = let(numbers, lambda c: F.flatten(F.transform(self.parts(c), part)))
+        return F.when(F.length(word) > LONG, long).otherwise(self.merged(let(numbers, self.begin_bytes), F.length(word), self.one))
 
 
 class Tokenizer:
