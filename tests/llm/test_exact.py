@@ -234,7 +234,7 @@ def test_vectors(spark):
     low = {n: n for n, _ in rows}
     for _ in range(20):
         low = {n: min([low[n], *(low[m] for m in links.get(n, ()))]) for n in low}
-    for how in ({}, {"list_size": 40, "block": 16}):
+    for how in ({}, {"list_size": 40, "block": 16}, {"list_size": 40, "block": 16, "most_pivots": 40}):
         got = {r.vec_id: r for r in embed_dedup.digest(embed_dedup.links(df, **how)).collect()}
         assert len(got) == len(rows)
         total = sum(map(len, links.values()))
@@ -244,6 +244,26 @@ def test_vectors(spark):
     assert embed_dedup.digest(embed_dedup.links(df.limit(0))).count() == 0
 
 
+def test_lists_of_pairs_give_the_same_candidates():
+    rng = np.random.default_rng(2)
+    lists = np.sort(np.array([rng.choice(12, 5, replace=False) for _ in range(60)]), axis=1)
+    for i, a in enumerate(lists):
+        for b in lists[:i]:
+            both = sorted(set(a.tolist()) & set(b.tolist()))
+            pairs = [(x << embed_dedup.PAIR) + y for k, x in enumerate(both) for y in both[k + 1 :]]
+            assert [n for n in pairs if embed_dedup.first_shared(a[None], b[None], n, 2, True)[0]] == pairs[:1]
+            assert [n for n in both if embed_dedup.first_shared(a[None], b[None], n, 2, False)[0]] == (both[:1] if len(both) > 1 else [])
+
+
+def test_vectors_without_or_with_equal_ids(spark):
+    e = lambda k: [float(k == i) for i in range(8)]
+    rows = [(None, e(0)), (5, e(0)), (7, e(1)), (7, e(2)), (None, e(3)), (None, e(3)), (None, None), (2, None), (3, e(4)), (None, [x * 2 for x in e(4)])]
+    for kind in ("double", "float"):
+        got = embed_dedup.digest(embed_dedup.links(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"))).collect()
+        wanted = [(None, 1, 5, False), (5, 1, 5, True), (7, 0, 7, True), (7, 0, 7, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (2, 0, 2, True), (3, 1, 3, True), (None, 1, 3, False)]
+        assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+
+
 def test_vectors_of_a_large_group(spark):
     """A third of the rows are distinct near copies; a pivot inside the group must not split it, however many pivots there are."""
     rng = np.random.default_rng(5)

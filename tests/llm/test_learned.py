@@ -32,7 +32,7 @@ def held_out(scored, labels, label):
 @needs_tables
 def test_toxicity(spark):
     docs, labels = read(spark, "documents").withColumn("score", F.lit("clash")), read(spark, "labels")
-    model = toxicity.fit(docs, labels)
+    model = toxicity.fit(docs.unionByName(docs.limit(50)), labels.unionByName(labels.limit(20)))  # repeated rows and labels
     scored = toxicity.score(docs, model)
     assert scored.columns == docs.columns
     scores, truth = held_out(scored, labels, "toxic")
@@ -73,21 +73,50 @@ def test_one_class_or_no_labels(spark):
 
 @needs_tables
 def test_quality(spark):
-    docs, labels = read(spark, "documents"), read(spark, "labels")
-    model = quality.fit(docs, labels)
-    scores, truth = held_out(quality.score(docs, model), labels, "quality")
+    docs, labels = read(spark, "documents").withColumn("score", F.lit("clash")).withColumn("label", F.lit(9)), read(spark, "labels")
+    model = quality.fit(docs.unionByName(docs.limit(50)), labels.unionByName(labels.limit(20)))  # repeated rows and labels
+    scored = quality.score(docs, model)
+    assert scored.columns == docs.columns
+    scores, truth = held_out(scored, labels, "quality")
     assert np.mean([(s >= 0.3) == t for s, t in zip(scores, truth, strict=True)]) > 0.9
     edges = quality.score(spark.createDataFrame([(x,) for x in EDGES], "text string"), model).collect()
     assert all(0 <= r.score <= 1 for r in edges) and edges[0].score == edges[1].score
 
 
-def test_context_vectors_cover_all_documents(spark):
-    docs = spark.createDataFrame([("a b c",), (None,), ("",), ("a b",)], "text string").repartition(3)
-    own = quality.random_vectors().astype(int)
-    a, b, c = (quality.tokens(w)[0] for w in "abc")
-    got = quality.contexts(docs)
-    assert got[:, quality.DIM].sum() == 5 and got[a, quality.DIM] == 2
-    assert (got[a, : quality.DIM] == 2 * own[b] + own[c]).all() and (got[c, : quality.DIM] == own[a] + own[b]).all()
+def test_tokens_and_context_vectors_cover_all_documents(spark):
+    rng = random.Random(6)
+    parts = ["a", "b", "Foo", "FOO", "foo", " ", "  ", "%%%", ".", "é", "\n", "\0", "日本", "_x", "x1"]
+    given = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(200))]
+    form = lambda t: t if t.isascii() and t.isupper() and len(t) > 1 and t.isalpha() else "".join(c.lower() if c.isascii() else c for c in t)
+    own = [[form(x) for x in re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+|[^0-9A-Za-z_\x80-\U0010ffff\x00-\x20\x7f]+", t or "")] for t in given]
+    hashes, begins = quality.tokens(given)
+    assert np.diff(begins).tolist() == [len(x) for x in own]
+    flat = [x for t in own for x in t]
+    assert len({*flat}) == len({*zip(flat, hashes.tolist(), strict=True)}) == len({*hashes.tolist()})
+    vector = {w: np.bincount(quality.random_vector(np.array([h]))[0][0], weights=quality.random_vector(np.array([h]))[1][0], minlength=quality.DIM) for w, h in zip(flat, hashes, strict=True)}
+    wanted = {w: np.zeros(quality.DIM + 1) for w in flat}
+    for text in own:
+        for i, w in enumerate(text):
+            wanted[w][quality.DIM] += 1
+            for j in range(max(0, i - quality.REACH), min(len(text), i + quality.REACH + 1)):
+                if j != i:
+                    wanted[w][: quality.DIM] += vector[text[j]]
+    got = quality.contexts(spark.createDataFrame([(t,) for t in given], "text string").repartition(3))
+    total = np.zeros((quality.ROWS, quality.DIM + 1))
+    for w, h in {*zip(flat, hashes.tolist(), strict=True)}:
+        for row in quality.rows_of(np.array([h], dtype=np.uint64))[0]:
+            total[row] += wanted[w]
+    assert (got == total).all()
+
+
+def test_scores_do_not_depend_on_the_rows_beside_them():
+    rng = random.Random(5)
+    texts = ["", *(" ".join(rng.choice(["aa", "bb", "cc", "!!", "DD"]) for _ in range(rng.randrange(1, 60))) for _ in range(40))]
+    total = np.zeros((quality.ROWS, quality.DIM + 1))
+    quality.gathered(texts, total)
+    vectors = quality.Vectors(total)
+    model = quality.Model(vectors, quality.fit_network(quality.pooled(texts, vectors).astype(float), np.arange(41) % 2.0, steps=30))
+    assert model.scores(texts).tolist() == [model.scores([t])[0] for t in texts] == model.scores(texts[::-1])[::-1].tolist()
 
 
 def test_temperature():
@@ -187,6 +216,35 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_matches_do_not_depend_on_the_texts_beside_them():
+    rng = random.Random(7)
+    index = license_scan.Index()
+    noise = lambda n: " ".join(rng.choice("abcdefgh") * 3 for _ in range(n))
+    texts = [f"{noise(rng.randrange(40))} {rng.choice(license_scan.TEMPLATES)[1]} {noise(rng.randrange(40))}" if rng.random() < 0.6 else noise(rng.randrange(90)) for _ in range(60)]
+    assert index.find(texts) == [index.find([t])[0] for t in texts] == index.find(texts[::-1])[::-1]
+
+
+def test_licences_against_brute_force():
+    """Every stretch of a text that holds enough of a template, found by trying all of them, is covered by a match."""
+    rng = random.Random(11)
+    templates = (("long", " ".join(f"w{i}" for i in range(40))), ("short", "one two three"), ("mid", " ".join(f"m{i}" for i in range(12))))
+    index = license_scan.Index(templates)
+    for _ in range(60):
+        words = [f"x{rng.randrange(5)}" for _ in range(rng.randrange(30))]
+        for _, text in rng.sample(templates, 2):
+            own = text.split()
+            if rng.random() < 0.5 and len(own) > 3:
+                own[rng.randrange(len(own))] = "zz"
+            words += own + [f"x{rng.randrange(5)}" for _ in range(rng.randrange(20))]
+        found = index.find([" ".join(words)])[0]
+        for name, text in templates:
+            own = text.split()
+            size = min(5, len(own))
+            wanted = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
+            best = max((len({tuple(words[i : i + size]) for i in range(a, min(a + int(1.25 * len(own)), len(words)) - size + 1)} & wanted) / len(wanted) for a in range(len(words))), default=0)
+            assert (best >= license_scan.CONTAINMENT) == any(m["license"] == name and m["containment"] == pytest.approx(best) for m in found)
+
+
 def test_containment_is_exact():
     index = license_scan.Index((("x", " ".join(f"w{i}" for i in range(30))),))
     text = [f"w{i}" for i in range(30)]

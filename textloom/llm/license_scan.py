@@ -2,15 +2,15 @@
 
 Texts and templates are sequences of shingles of five words (of all words, for a template of fewer).  Templates are dealt
 into classes by length; a class has one window length, a power of two that its templates fill.  Each document is covered by
-windows of that length that overlap by three quarters (at all positions for windows under eight shingles); every position of
-a template is a window too, so a verbatim passage always holds a window equal to one of the template's.
+windows of that length that overlap by three quarters, the first at its beginning (at all positions for windows under eight shingles), so that what is found
+does not depend on the documents beside it; every position of a template is a window too, so a verbatim passage always holds a window equal to one of the template's.
 ``BANDS`` bands of ``ROWS`` minima retrieve a template from a window of similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.996
 at 0.7 and above 0.9999 at 0.8, for each of the windows that a passage fills.
 
-A retrieved template is verified over the whole document: the shares of the template's distinct shingles found within a stretch of its
+A retrieved template is verified over the whole document: the shares of the template's distinct shingles found, word by word, within a stretch of its
 length and a quarter more; stretches that reach ``CONTAINMENT`` are matches, best first, without overlap.
 
-Null and empty texts match nothing; repeated rows each get their matches; extra columns are not carried.  Templates are a
+Null and empty texts match nothing; repeated rows each get their matches; other columns, whatever their names, are not carried.  Templates are a
 small fixed table (checked: at most ``TEMPLATE_WORDS`` words), sent with the code.
 """
 
@@ -71,10 +71,11 @@ def window_length(n: int) -> int:
     return 1 << (n.bit_length() - 1) if n < 8 else 1 << (int(n / 1.25).bit_length() - 1)
 
 
-def window_keys(x: np.ndarray, lengths: list[int], every: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(length, step, keys as bands x windows) for each of the ascending window lengths.
+def window_keys(x: np.ndarray, lengths: list[int], begins: np.ndarray, ends: np.ndarray, every: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, keys as bands x windows) for each of the ascending window lengths.
 
-    Minima of stretches that double in length are shared by all lengths.  ``every``: at all positions, else at each ``step``-th.
+    ``begins`` and ``ends`` bound the documents in ``x``; windows lie within one.  Minima of stretches that double in length are shared by all lengths.
+    ``every``: at all positions, else at each quarter of a length.
     """
     with np.errstate(over="ignore"):
         low = x.astype(np.uint32)[None, :] * multipliers(BANDS * ROWS).astype(np.uint32)[:, None]
@@ -86,11 +87,14 @@ def window_keys(x: np.ndarray, lengths: list[int], every: bool = False) -> Itera
                 low = np.minimum(low[:, :-width], low[:, width:])
                 width *= 2
             step = 1 if every or length < 8 else length // 4
-            own = low[: ROWS if length == 1 else None, ::step].astype(np.uint64)  # one shingle: one band says all
+            counts = np.maximum((ends - begins - length) // step + 1, 0)
+            before = np.cumsum(counts) - counts
+            positions = np.repeat(begins - step * before, counts) + step * np.arange(int(counts.sum()))
+            own = low[: ROWS if length == 1 else None, positions].astype(np.uint64)  # one shingle: one band says all
             keys = own[0::ROWS] + np.arange(1, len(own) // ROWS + 1, dtype=np.uint64)[:, None]
             for k in range(1, ROWS):
                 keys = keys * _MIX + own[k::ROWS]
-            yield length, step, keys * _MIX
+            yield length, positions, keys * _MIX
 
 
 class Index:
@@ -98,16 +102,18 @@ class Index:
 
     def __init__(self, templates=TEMPLATES):
         assert sum(len(words_of(t)) for _, t in templates) <= TEMPLATE_WORDS, "templates are a small table"
-        self.templates = []  # name, words, size of shingle, distinct shingles
+        self.templates = []  # name, words, size of shingle, distinct shingles by hash, their words
         found: dict[tuple[int, int], list] = {}
         for name, text in templates:
             words = words_of(text)
             if words:
                 size = min(SHINGLE, len(words))
                 x = shingles(word_hashes(words), size)
-                for length, _, keys in window_keys(x, [window_length(len(x))], every=True):
+                for length, _, keys in window_keys(x, [window_length(len(x))], np.array([0]), np.array([len(x)]), every=True):
                     found.setdefault((size, length), []).extend((int(k), len(self.templates)) for k in keys.ravel())
-                self.templates.append((name, len(words), size, np.unique(x)))
+                by_hash = {int(h): words[i : i + size] for i, h in enumerate(x)}
+                assert len(by_hash) == len({tuple(w) for w in by_hash.values()}) == len({tuple(words[i : i + size]) for i in range(len(x))}), "hashes of a template differ"
+                self.templates.append((name, len(words), size, np.unique(x), by_hash))
         self.lengths: dict[int, list[int]] = {}
         self.keys = {}
         for (size, length), own in sorted(found.items()):
@@ -120,22 +126,23 @@ class Index:
             self.lengths.setdefault(size, []).append(length)
             self.keys[size, length] = (first, keys, owners)
 
-    def retrieve(self, x: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    def retrieve(self, x: np.ndarray, size: int, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         """(position, template) of windows that share a band with a template."""
-        for length, step, keys in window_keys(x, self.lengths[size]):
+        for length, positions, keys in window_keys(x, self.lengths[size], begins, ends):
             first, wanted, owners = self.keys[size, length]
             maybe = first[keys >> np.uint64(64 - self.BITS)]
             windows, keys = np.nonzero(maybe)[1], keys[maybe]
             at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
             for i in np.flatnonzero(wanted[at] == keys):
                 for template in owners[int(keys[i])]:
-                    yield int(windows[i]) * step, template
+                    yield int(positions[windows[i]]), template
 
-    def verify(self, template: int, x: np.ndarray, containment: float) -> list[tuple[float, int, int]]:
-        """(share, first word, last word) of stretches that hold enough of the template, best first, without overlap."""
-        _, words, size, wanted = self.templates[template]
+    def verify(self, template: int, x: np.ndarray, text: list[bytes], containment: float) -> list[tuple[float, int, int]]:
+        """(share, first word, last word) of stretches that hold enough of the template, best first, without overlap; ``x``: the hashed shingles of ``text``."""
+        _, words, size, wanted, by_hash = self.templates[template]
         where = np.searchsorted(wanted, x)
         hits = np.flatnonzero(wanted[np.minimum(where, len(wanted) - 1)] == x)
+        hits = np.array([i for i in hits if text[i : i + size] == by_hash[int(x[i])]], dtype=np.int64)
         if not len(hits):
             return []
         kinds, most = where[hits], max(1, int(1.25 * words) - size + 1)
@@ -164,24 +171,21 @@ class Index:
     def find(self, texts: list[str | None], containment: float = CONTAINMENT) -> list[list[dict]]:
         """For each text its matches by position: licence, first word, end word (exclusive), containment.
 
-        The words of all texts stand in one row, so that short texts share the work; windows across two texts retrieve at worst a template that fails.
+        The words of all texts stand in one row, so that short texts share the work; windows lie within one text.
         """
         words = [words_of(t) for t in texts]
         ends = np.cumsum([len(w) for w in words])
+        begins = ends - [len(w) for w in words]
         hashes = word_hashes([x for w in words for x in w])
         best: list[dict[tuple, float]] = [{} for _ in texts]
         for size in self.lengths:
             if len(hashes) < size:
                 continue
             x = shingles(hashes, size)
-            retrieved = set()
-            for position, template in self.retrieve(x, size):
-                first = int(np.searchsorted(ends, position, side="right"))
-                last = int(np.searchsorted(ends, position + self.templates[template][1], side="right"))
-                retrieved.update((i, template) for i in range(first, min(last, len(words) - 1) + 1))
+            retrieved = {(int(np.searchsorted(ends, position, side="right")), template) for position, template in self.retrieve(x, size, begins, np.maximum(ends - size + 1, begins))}
             for i, template in retrieved:
-                begin = int(ends[i]) - len(words[i])
-                for share, a, b in self.verify(template, x[begin : max(begin, int(ends[i]) - size + 1)], containment):
+                begin = int(begins[i])
+                for share, a, b in self.verify(template, x[begin : max(begin, int(ends[i]) - size + 1)], words[i], containment):
                     key = (self.templates[template][0], a, b)
                     best[i][key] = max(best[i].get(key, 0), share)
         out = []
