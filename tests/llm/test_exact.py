@@ -130,11 +130,65 @@ def test_tagger():
     for (text, wanted), got in zip(sentences, pii.tagged(p, [t for t, _ in sentences]), strict=True):
         wanted = {s for s in wanted if s[2] <= len(text)}
         right, wrong, missed = right + len(wanted & set(got)), wrong + len(set(got) - wanted), missed + len(wanted - set(got))
-    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85
+    assert right / (right + wrong) > 0.8 and right / (right + missed) > 0.8  # the spans alone, before the checks of their kinds
+
+
+#: Sentences that no rule wrote, with what is personal in them.
+WRITTEN = [
+    ("Write to jörg.müller@kanzlei-weiß.de before Friday.", ["email:jörg.müller@kanzlei-weiß.de"]),
+    ("You can reach me at anna.kowalska (at) poczta (dot) pl, thanks!", ["email:anna.kowalska (at) poczta (dot) pl"]),
+    ("Contact: support[at]northwind[dot]org or the form on our page.", ["email:support[at]northwind[dot]org"]),
+    ("josé.garcía@correo.es asked for a refund of 300 euros.", ["email:josé.garcía@correo.es"]),
+    ("The beacon talked to 185[.]220[.]101[.]4 for two hours.", ["ip:185[.]220[.]101[.]4"]),
+    ("Blocked 10.0.3[.]77 at the gate, and 7 others.", ["ip:10.0.3[.]77"]),
+    ("My card 4111.1111.1111.1111 was charged twice.", ["card:4111.1111.1111.1111"]),
+    ("Pay with 5500/0000/0000/0004 please", ["card:5500/0000/0000/0004"]),
+    ("Call our London desk on 020 7946 0958 after nine.", ["phone:020 7946 0958"]),
+    ("Ring (555) 010-2345 or 555-867-5309 for a quote.", ["phone:(555) 010-2345", "phone:555-867-5309"]),
+    ("Mein Büro: 0171/1234567, abends nicht.", ["phone:0171/1234567"]),
+    ("Appelez le 06 12 34 56 78 le matin", ["phone:06 12 34 56 78"]),
+    ("From abroad dial 0049 30 1234567.", ["phone:0049 30 1234567"]),
+    ("The meeting is on 2024-05-17 at 14:30 in room 210.", []), ("Version 1.2.3.4.5 shipped in 2019-2021 to 1200 users.", []), ("It cost $349.00, order #55120934, page 12 of 40.", []),
+    ("Follow @northwind (at least once) for 100 more tips.", []), ("See figure 3.2, table 17 and pages 1990-1995.", []), ("Mix 250 g flour, 3 eggs, 0.5 l milk; bake 45 min.", []),
+    ("ISBN 978-3-16-148410-0 has 320 pages.", []), ("Scores: 12 34 56, 78 90 12.", []), ("Her badge a3f0091be was found on 12.03.2021.", []),
+]
+
+
+def test_tagger_on_sentences_that_no_rule_wrote():
+    found = pii.find([t for t, _ in WRITTEN], pii.trained())
+    right = wrong = missed = 0
+    for (text, wanted), own in zip(WRITTEN, found, strict=True):
+        got = {f"{pii.KINDS[k]}:{text[a:b]}" for k, a, b, base in own if not base}
+        right, wrong, missed = right + len(got & set(wanted)), wrong + len(got - set(wanted)), missed + len(set(wanted) - got)
+    assert right / (right + wrong) >= 0.8 and right / (right + missed) >= 0.7, (right, wrong, missed)
+    assert {k for own in found for k, _, _, base in own if not base} == {0, 1, 2, 3}  # spans of every kind can be added
+
+
+def test_spans_do_not_depend_on_the_texts_beside_them():
+    rng = random.Random(4)
+    sentences = [t for t, _ in WRITTEN] + [t for t, _ in pii.sentences(30, 5)]
+    texts = [" ".join(rng.choice(sentences) for _ in range(rng.randrange(1, 9))) for _ in range(25)]
+    p = pii.trained()
+    assert pii.tagged(p, texts) == [pii.tagged(p, [t])[0] for t in texts]
+
+
+def test_viterbi_is_global():
+    """The tags of a stretch are the best of all sequences of tags, by trying them all."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    p = {"trans": rng.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32)}
+    for size in (1, 2, 4):
+        e = rng.normal(size=(size, pii.TAGS)).astype(np.float32)
+        bad = lambda t, before: t and t % 2 == 0 and before not in (t, t - 1)
+        own = [s for s in itertools.product(range(pii.TAGS), repeat=size) if not any(bad(t, s[i - 1] if i else 0) for i, t in enumerate(s))]
+        best = max(own, key=lambda s: sum(e[i, t] for i, t in enumerate(s)) + sum(p["trans"][s[i], s[i + 1]] for i in range(size - 1)))
+        longer = rng.normal(size=(7, pii.TAGS)).astype(np.float32)
+        assert pii.decode(p, [longer, e])[1].tolist() == list(best)
 
 
 def test_personal_data(spark):
-    given = [*EDGES[:-1], "call (555) 010-2345 now", "mail bob.x@example.com, 10.1.2.3", "4111 1111 1111 1111 and +49 30 1234567", "word " * 500 + "a@b.co", "1.2.3.4.5 2024-01-02"]
+    given = [*EDGES, "call (555) 010-2345 now", "mail bob.x@example.com, 10.1.2.3", "4111 1111 1111 1111 and +49 30 1234567", "word " * 500 + "a@b.co", "1.2.3.4.5 2024-01-02"]
     given += given[:3]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").selectExpr("*", "1 id", "2 spans")
     got = pii.digest(pii.scan(df)).collect()
@@ -143,7 +197,7 @@ def test_personal_data(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in own) for kind in pii.KINDS)
         assert r.base_sha256 == digest([f"{k}:{a}:{b}" for k, a, b in own])
         assert set(f"{k}:{a}:{b}" for k, a, b in own) <= set(r.spans.split(","))
-    assert [r.spans for r in got if r.doc_id == 7] == ["phone:5:19"]  # the tagger's
+    assert [r.spans for r in got if r.doc_id == len(EDGES)] == ["phone:5:19"]  # the tagger's
     assert pii.scan(df.limit(0)).count() == 0
 
 
@@ -158,7 +212,7 @@ def encoding():
 
 
 def test_bpe(spark, encoding):
-    given = [*EDGES[:5], "a" * 400, " a   b\n\n c  ", "<|endoftext|> x's we'll", "日本語のテキスト。", "\U00031350\U00010570x ࡰ", "1234 ٣٤ ½ Ⅷ", "é ‍😀👍🏽", "\x00\x01\x85\t\tx \r\n", "the cat sat on the mat " * 30, "the"]
+    given = [*EDGES, "a" * 400, "ab" * 3000, "hahaha" * 500 + "aaa" * 77, "日本語のテキスト。" * 200, "สวัสดีชาวโลก" * 300, "QmFzZTY0" * 400, " a   b\n\n c  ", "<|endoftext|> x's we'll", "日本語のテキスト。", "\U00031350\U00010570x ࡰ", "1234 ٣٤ ½ Ⅷ", "é ‍😀👍🏽", "\x00\x01\x85\t\tx \r\n", "the cat sat on the mat " * 30, "the"]
     given += given[-2:]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").selectExpr("*", "1 ids", "2 word")
     for frequent in (bpe.FREQUENT, 4):

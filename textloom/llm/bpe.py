@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT, COUNTS, LONG = 1 << 19, 4096, 200
+FREQUENT, COUNTS, LONG = 1 << 18, 4096, 200
 #: Letters and numbers of Unicode 16, which the tokenizer's pattern knows, that Unicode 13, which Java's classes know, lacks.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3

@@ -1,12 +1,17 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy on labelled spans in sentences that a seeded rule writes (``sentences``).  It reads windows of ``WINDOW``
-characters that overlap by half.  All windows with an @ or a digit, and their neighbours, are tagged; the other windows can hold no
-span, as every kind needs one of these characters.  Each window is decoded by Viterbi over the CRF; then every character takes its
-tag from the window in which it stands farthest from an edge, and spans are read off the reconciled tags of the whole text.
+characters that overlap by half.  All windows with a sign of personal data (an @ or what stands for it, or a digit) and their neighbours are read; the other windows can hold no
+span, as every kind needs one of these.  What the windows say of a character is averaged, weighted by its distance from their edges, to one
+sequence of scores for each stretch of such windows, however long, and one Viterbi pass over the stretch gives its tags: spans are found globally, not window by window.
 
-A span of the tagger is added if it touches no span of the patterns and passes the check of its kind, so that the patterns' spans stay as they are.
-Positions are code points, end exclusive.  Null and empty texts have no spans; rows are independent, and texts are read whole; time is linear in the length.
+A span of the tagger is added if it touches no span of the patterns, except to hold whole ones of its own kind, and passes the check of its kind (``accepted``): an address has one @ or what stands for it and a host with
+dots, a number of the net four parts to 255, a card 13 to 19 digits that pass Luhn, a phone number 9 to 15 digits in groups; so that the patterns' spans stay as they are.
+What the patterns cannot see: addresses with letters beyond ASCII or written with (at) and (dot), net numbers with bracketed dots, cards with
+other separators, national phone numbers.
+
+Positions are code points, end exclusive.  Null and empty texts have no spans; rows are independent, repeated ones each get their spans, and other columns, whatever their
+names, are not carried; texts are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from .common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-WINDOW, EMBED, HIDDEN = 96, 12, 16
+WINDOW, EMBED, HIDDEN = 96, 12, 24
 SIGNS = " @.-_%+():,/\n'\"#*&!?;|=<>[]{}$"
 CODES = 5 + 26 + len(SIGNS)
 
@@ -34,8 +39,14 @@ _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[@0-9]")
-_LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\Z")
+_TRIGGER = re.compile(r"[@0-9]|[(\[{] ?(?:at|AT) ?[)\]}]")
+_AT = r"(?: ?@ ?| ?[(\[{] ?(?:at|AT) ?[)\]}] ?)"
+_DOT = r"(?: ?\. ?| ?[(\[{] ?(?:dot|DOT|\.) ?[)\]}] ?)"
+_MAIL = re.compile(rf"[\w%+-]+(?:\.[\w%+-]+)*{_AT}\w[\w-]*(?:{_DOT}\w[\w-]*)*{_DOT}[^\W\d_]{{2,}}")
+_NET = re.compile(rf"([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}})")
+_GROUPS = re.compile(r"[0-9]{3,6}(?:([ ./·\xa0-]) ?[0-9]{3,6}){2,5}")
+_CALL = re.compile(r"(?:00 ?)?\(?0?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,8}\)?){1,5}|0[0-9]{8,14}")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ]?[01]?[0-9][-./ ][0-3]?[0-9](?![0-9])|[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?[-/] ?(?:19|20)[0-9]{2}")
 
 
 def luhn(digits: str) -> bool:
@@ -100,39 +111,58 @@ def _table() -> np.ndarray:
 def sentences(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Labelled sentences: invented words, numbers that are no personal data, and labelled spans of every kind."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("th on er an in re ed ti es la de que ie un ch st ou ma lo vi".split()) for _ in range(rng.randint(1, 3)))
-    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    pick = rng.choice
+    word = lambda: "".join(pick("th on er an in re ed ti es la de que ie un ch st ou ma lo vi é ü ñ".split()) for _ in range(rng.randint(1, 3)))
+    digits = lambda k: "".join(pick("0123456789") for _ in range(k))
+    part = lambda: str(rng.randint(0, 255))
 
     def email():
-        local = rng.choice([word() + rng.choice("._-+") + word(), word() + digits(2), word()])
-        return local + "@" + word() + rng.choice(["", "." + word()]) + "." + rng.choice("com org net example io de".split())
+        local = pick([word() + pick("._-+") + word(), word() + digits(2), word(), word() + "." + word() + digits(1)])
+        at = pick(["@"] * 5 + ["(at)", " (at) ", "[at]", " [at] ", " @ ", " AT ".join(["[", "]"]).replace("[ ", "[").replace(" ]", "]")])
+        dot = pick(["."] * 5 + [" (dot) ", "[dot]", "(dot)", "[.]"]) if at != "@" else "."
+        host = [word() for _ in range(pick([1, 1, 2]))] + [pick("com org net example io de fr es info".split())]
+        return local + at + dot.join(host)
+
+    def net():
+        dot = pick(["."] * 4 + ["[.]", "(.)", " . "])
+        own = [part() for _ in range(4)]
+        return own[0] + "." + own[1] + "." + own[2] + "[.]" + own[3] if rng.random() < 0.1 else dot.join(own)
 
     def card():
-        body = digits(rng.choice([14, 15, 15, 15]))
+        body = digits(pick([14, 15, 15, 15]))
         body += next(d for d in "0123456789" if luhn(body + d))
-        sep = rng.choice(["", " ", "-"])
+        sep = pick(["", " ", "-", " ", ".", "/", " - "])
         return sep.join(body[i : i + 4] for i in range(0, len(body), 4))
 
     def phone():
-        return rng.choice([f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)}{digits(9)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)}.{digits(3)}.{digits(6)}"])
+        return pick([
+            f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)}{digits(9)}", f"({digits(3)}) {digits(3)}-{digits(4)}",
+            f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)}.{digits(3)}.{digits(6)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}/{digits(7)}", f"00{digits(2)} {digits(2)} {digits(7)}",
+            f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"(0{digits(2)}) {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(10)}", f"0{digits(3)} {digits(6)}",
+        ])
 
-    spans = (email, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), card, phone)
+    spans = (email, net, card, phone)
     other = (
         lambda: f"{rng.randint(1900, 2030)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: digits(rng.randint(1, 7)), lambda: f"{digits(2)}:{digits(2)}",
         lambda: f"${digits(3)}.{digits(2)}", lambda: "@" + word(), lambda: f"v{digits(1)}.{digits(2)}", lambda: digits(32), lambda: f"{digits(3)}-{digits(2)}", lambda: f"{digits(4)} {digits(4)}",
+        lambda: f"{digits(2)}.{digits(2)}.{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", lambda: f"({pick(['at', 'dot', 'see'])} {word()})",
+        lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: ".".join(part() for _ in range(5)), lambda: f"#{digits(8)}", lambda: f"{digits(2)}/{digits(2)}", lambda: "a3f" + digits(9) + "be",
     )
+    before = ("call ", "tel. ", "mail: ", "card ", "from ", "ip=", "phone: ", "at ", "no. ", "to ")
     out = []
     for _ in range(n):
         text, own = "", []
         while len(text) < WINDOW + 21:
-            pick = rng.random()
-            if pick < 0.22:
+            draw = rng.random()
+            if draw < 0.24:
                 kind = rng.randrange(4)
-                part = spans[kind]()
-                own.append((kind, len(text), len(text) + len(part)))
+                text += pick(before) if rng.random() < 0.3 else ""
+                piece = spans[kind]()
+                own.append((kind, len(text), len(text) + len(piece)))
             else:
-                part = rng.choice(other)() if pick < 0.34 else word()
-            text += part + rng.choice([" ", " ", " ", ", ", ". ", "\n", ": "])
+                piece = pick(other)() if draw < 0.38 else word()
+                piece = piece.capitalize() if rng.random() < 0.15 else piece
+            text += piece + pick([" ", " ", " ", ", ", ". ", "\n", ": ", "; "])
         cut_at = rng.randint(0, 20)
         own = [(k, max(0, a - cut_at), b - cut_at) for k, a, b in own if b > cut_at]
         out.append((text[cut_at:], own))
@@ -221,7 +251,7 @@ def _crf_gradient(e: np.ndarray, trans: np.ndarray, gold: np.ndarray) -> tuple[f
 
 
 @lru_cache(4)
-def trained(steps: int = 260, batch: int = 48, seed: int = 3) -> dict:
+def trained(steps: int = 520, batch: int = 48, seed: int = 3) -> dict:
     """Parameters of the tagger; always the same for the same arguments."""
     rng = np.random.default_rng(seed)
     data = sentences(steps * batch // 3, seed)
@@ -255,76 +285,98 @@ def trained(steps: int = 260, batch: int = 48, seed: int = 3) -> dict:
     return p
 
 
-def decode(p: dict, codes: np.ndarray) -> np.ndarray:
-    """Best tags (time, batch) by Viterbi; an inside tag follows only tags of its kind."""
-    e, _ = _emissions(p, codes)
+def decode(p: dict, stretches: list[np.ndarray]) -> list[np.ndarray]:
+    """Best tags of each sequence of scores (time, tag) by Viterbi; an inside tag follows only tags of its kind."""
     allowed = p["trans"].copy()
     for kind in range(len(KINDS)):
         inside = 2 + 2 * kind
         for tag in range(TAGS):
             if tag not in (inside, inside - 1):
                 allowed[tag, inside] = -1e4
-    steps, batch, _ = e.shape
-    score, come = e[0].copy(), np.zeros((steps, batch, TAGS), dtype=np.int8)
-    for t in range(1, steps):
-        all_ = score[:, :, None] + allowed
-        come[t] = all_.argmax(axis=1)
-        score = all_.max(axis=1) + e[t]
-    out = np.empty((steps, batch), dtype=np.int8)
-    out[-1] = score.argmax(axis=1)
-    rows = np.arange(batch)
-    for t in range(steps - 1, 0, -1):
-        out[t - 1] = come[t, rows, out[t]]
+    first = np.array([-1e4 if k and k % 2 == 0 else 0 for k in range(TAGS)], dtype=np.float32)
+    out: list = [None] * len(stretches)
+    order = sorted(range(len(stretches)), key=lambda i: (len(stretches[i]), i))
+    for begin in range(0, len(order), 128):  # of similar lengths; each ends where its own scores end
+        some = order[begin : begin + 128]
+        sizes = np.array([len(stretches[i]) for i in some])
+        steps = int(sizes.max())
+        e = np.zeros((steps, len(some), TAGS), dtype=np.float32)
+        for k, i in enumerate(some):
+            e[: sizes[k], k] = stretches[i]
+        come = np.zeros((steps, len(some), TAGS), dtype=np.int8)
+        score = first + e[0]
+        last = np.where(sizes == 1, score.argmax(axis=1), 0)
+        for t in range(1, steps):
+            every = score[:, :, None] + allowed
+            come[t] = every.argmax(axis=1)
+            score = every.max(axis=1) + e[t]
+            done = sizes == t + 1
+            if done.any():
+                last[done] = score[done].argmax(axis=1)
+        for k, i in enumerate(some):
+            tags = np.empty(sizes[k], dtype=np.int8)
+            tags[-1] = tag = last[k]
+            for t in range(sizes[k] - 1, 0, -1):
+                tags[t - 1] = tag = come[t, k, tag]
+            out[i] = tags
     return out
 
 
 def tagged(p: dict, docs: list[str], at_once: int = 256) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger sees in each text, from overlapping windows."""
+    """Spans that the tagger sees in each text."""
     step = WINDOW // 2
-    parts, where = [], []
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+    parts, where, stretches = [], [], []  # windows; their stretch and place in it; (text, start, end, sums, weights)
     for n, text in enumerate(docs):
-        first = [m.start() for m in _TRIGGER.finditer(text)]
-        if not first:
+        found = [m.start() for m in _TRIGGER.finditer(text)]
+        if not found:
             continue
-        cells = np.unique(np.asarray(first) // step)  # a cell is half a window; windows k-1 and k hold cell k
+        cells = np.unique(np.asarray(found) // step)  # a cell is half a window; windows k-1 and k hold cell k
         windows = np.unique(np.concatenate([cells - 2, cells - 1, cells, cells + 1]))
         windows = windows[(windows >= -1) & (windows * step < len(text))]
         codes = np.concatenate([np.zeros(step, np.int32), coded(text), np.zeros(WINDOW, np.int32)])
-        for w in windows:
-            parts.append(codes[(w + 1) * step : (w + 1) * step + WINDOW])
-            where.append((n, int(w) * step))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in docs]
-    seen: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for run in np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1):
+            size = (len(run) + 1) * step
+            stretches.append((n, int(run[0]) * step, np.zeros((size, TAGS), np.float32), np.zeros((size, 1), np.float32)))
+            for k, w in enumerate(run):
+                parts.append(codes[(w + 1) * step : (w + 1) * step + WINDOW])
+                where.append((len(stretches) - 1, k * step))
     for begin in range(0, len(parts), at_once):
-        tags = decode(p, np.stack(parts[begin : begin + at_once], axis=1))
-        for k, (n, start) in enumerate(where[begin : begin + at_once]):
-            seen.setdefault(n, []).append((start, tags[:, k]))
-    quarter = WINDOW // 4
-    for n, own in seen.items():
-        size = len(docs[n])
-        tags = np.zeros(size, dtype=np.int8)
-        for start, found in own:  # the middle half of each window: there a character is farthest from an edge
-            a, b = max(0, start + quarter), min(size, start + WINDOW - quarter)
-            if a < b:
-                tags[a:b] = found[a - start : b - start]
-        spans, at = [], 0
-        for i in np.append(np.flatnonzero(tags), -1).tolist():
-            if i < 0:
-                break
+        e = _emissions(p, np.stack(parts[begin : begin + at_once], axis=1))[0]
+        for k, (i, at) in enumerate(where[begin : begin + at_once]):
+            stretches[i][2][at : at + WINDOW] += weight * e[:, k]
+            stretches[i][3][at : at + WINDOW] += weight
+    scores, place = [], []
+    for n, start, sums, weights in stretches:
+        a, b = max(0, -start), min(len(sums), len(docs[n]) - start)
+        if a < b:
+            scores.append(np.round(sums[a:b] / weights[a:b], 3))  # so that the last digits, which can differ with the windows beside, decide nothing
+            place.append((n, start + a))
+    out: list[list[tuple[int, int, int]]] = [[] for _ in docs]
+    for (n, start), tags in zip(place, decode(p, scores), strict=True):
+        at = 0
+        for i in np.flatnonzero(tags).tolist():
             if i < at:
                 continue
             kind, end = (int(tags[i]) - 1) // 2, i + 1
-            while end < size and tags[end] == 2 + 2 * kind:
+            while end < len(tags) and tags[end] == 2 + 2 * kind:
                 end += 1
-            spans.append((kind, i, end))
+            out[n].append((kind, start + i, start + end))
             at = end
-        out[n] = spans
     return out
 
 
 def accepted(kind: int, part: str) -> bool:
     """Whether a span of the tagger is of its kind for certain."""
-    return kind == 3 and bool(_LOCAL_PHONE.match(part))
+    digits = re.sub("[^0-9]", "", part)
+    if kind == 0:
+        return bool(_MAIL.fullmatch(part))
+    if kind == 1:
+        m = _NET.fullmatch(part)
+        return bool(m) and all(int(x) <= 255 for x in m.groups())
+    if kind == 2:
+        return bool(_GROUPS.fullmatch(part) or part.isascii() and part.isdigit()) and 13 <= len(digits) <= 19 and luhn(digits)
+    return bool(_CALL.fullmatch(part)) and 9 <= len(digits) <= 15 and not _DATE.search(part)
 
 
 def find(docs: list[str | None], p: dict) -> list[list[tuple[int, int, int, bool]]]:
@@ -333,13 +385,16 @@ def find(docs: list[str | None], p: dict) -> list[list[tuple[int, int, int, bool
     out = []
     for text, more in zip(docs, tagged(p, docs), strict=True):
         base = patterns(text)
-        covered = sorted((a, b) for _, a, b in base)
         own = [(*s, True) for s in base]
         for kind, a, b in more:
-            if any(x < b and a < y for x, y in covered):
+            while a < b and text[b - 1] in " \t\n.,;:!?":
+                b -= 1
+            while a < b and text[a] in " \t\n.,;:":
+                a += 1
+            if any(x < b and a < y and not (k == kind and a <= x and y <= b) for k, x, y in base):  # it may hold a span of its own kind
                 continue
             alone = (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in "+-.")) and (b == len(text) or not (text[b].isalnum() or text[b] == "-"))
-            if alone and accepted(kind, text[a:b]):
+            if alone and (kind, a, b) not in base and accepted(kind, text[a:b]):
                 own.append((kind, a, b, False))
         out.append(sorted(own))
     return out
@@ -355,7 +410,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         from .license_scan import grouped
 
         for batch in batches:
-            found = [x for some in grouped(batch.column(1).to_pylist(), 1_000_000) for x in find(some, sent.value)]
+            found = [x for some in grouped(batch.column(1).to_pylist(), 300_000) for x in find(some, sent.value)]
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in own] for own in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["id", "spans"])
 
