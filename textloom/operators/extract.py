@@ -43,31 +43,33 @@ def conform(value, shape: shapes.Shape):
 class Query:
     """A compiled query.  Immutable; it can be shared between threads and shipped to executors."""
 
-    def __init__(self, source: str):
-        self.source = source
-        self.tree = s.parse(source)
-        checker = Checker(self.tree, source)
-        problems = checker.check()
-        if any(p.severity == "error" for p in problems):
-            raise QueryError(problems)
-        self.warnings: list[Problem] = problems
-        self.shape = checker.output_shape()
+    def __init__(self, source: str, checked: bool = True):
+        self.source, self.checked = source, checked
+        with kernel.deep_stack():
+            self.tree = s.parse(source)
+            checker = Checker(self.tree, source)
+            problems = checker.check()
+            if checked and any(p.severity == "error" for p in problems):
+                raise QueryError(problems)
+            self.warnings: list[Problem] = problems
+            self.shape = checker.output_shape() if checked else None
         self._checker = checker
         self._grammar: Grammar | None = None
 
     def __reduce__(self):
-        return Query, (self.source,)
+        return Query, (self.source, self.checked)
 
     @property
     def grammar(self) -> Grammar:
         if self._grammar is None:
-            self._grammar = Grammar(self.tree)
+            with kernel.deep_stack():
+                self._grammar = Grammar(self.tree, checker=self._checker if self.checked else None)
         return self._grammar
 
     @property
     def spark_type(self) -> T.DataType | None:
         """The type of the result, or None if it is given as JSON text only."""
-        return shapes.spark_type(self.shape)
+        return shapes.spark_type(self.shape) if self.shape is not None else None
 
     def run(self, text: str, **options) -> kernel.Output:
         """Run on one text, here; a failed run raises :class:`RunError`."""
@@ -80,7 +82,10 @@ class Query:
         return self.warnings, self.run(sample, ambiguity_steps=1 << 62)
 
     def lowered(self) -> native.Lowered:
-        return native.lower(self._checker)
+        if not self.checked:
+            raise native.Cannot("the query is not checked")
+        with kernel.deep_stack():
+            return native.lower(self._checker)
 
     def explain(self) -> str:
         """Which engine runs the query, and why."""
@@ -137,11 +142,11 @@ class Query:
         kept = df.select(*(c for c in df.columns if c not in names or c == column))
         given = [c for c in kept.columns if c not in names]
         schema = T.StructType([*(f for f in kept.schema if f.name not in names), *added])
-        source, shape, place = self.source, self.shape, kept.columns.index(column)
+        source, checked, shape, place = self.source, self.checked, self.shape, kept.columns.index(column)
         kinds = [to_arrow_type(f.dataType) for f in added]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query = Query(source)
+            query = Query(source, checked)
             for batch in batches:
                 columns: list[list] = [[] for _ in added]
                 for text in batch.column(place).to_pylist():
@@ -250,3 +255,8 @@ def _within(p: s.Pattern, checker: Checker, seen: frozenset = frozenset()) -> fr
 def compile(source: str) -> Query:
     """Compile a query; :class:`QueryError` lists all its problems."""
     return Query(source)
+
+
+def compile_unchecked(source: str) -> Query:
+    """Compile what the reader accepts, without the static checks: for tests that put the kernel to odd grammars."""
+    return Query(source, checked=False)

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from ..functions import chars
 from ..plans import syntax as s
+from ..plans.checks import Checker
+from ..plans.straight import Proof
 
 
 @dataclass(eq=False)
@@ -48,15 +50,29 @@ class Node:
     skipping: Step | None = None
     stop: Callable | None = None  # (text, position) -> ends
     stop_described: str = ""
+    straight: bool = False  # whether it can end in one way only, and be read in one way
+    wanted: bool = True  # of a repetition: whether anybody asks for its items
+    _height: int | None = None
 
     def names(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(n for b in self.branches for x in b for n in x.names()))
 
+    def height(self) -> int:
+        """How many rules nest in it at most, if it is not recursive."""
+        if self._height is None:
+            steps = [x for b in self.branches for x in b] + [x for x in (self.item, self.separator) if x is not None]
+            self._height = (self.kind == "rule") + max((x.node.height() for x in steps if x.node is not None), default=0)
+        return self._height
+
 
 class Grammar:
-    def __init__(self, query: s.Query, fuse: bool = True):
-        """``fuse``: take characters up to a stop in one step where nobody asks for them one by one."""
+    def __init__(self, query: s.Query, fuse: bool = True, checker: Checker | None = None):
+        """``fuse``: take characters up to a stop in one step where nobody asks for them one by one.
+
+        ``checker``: of a checked query; then what has one reading only is read straight on.
+        """
         self.query, self.fuse, self._plain = query, fuse, None
+        self.proof = Proof(checker) if checker is not None and fuse else None
         self.rules = {r.name: Node("rule", r.name, rule=r) for r in query.rules}
         self.aliases = {a.name: Node("alias", a.name) for a in query.aliases}
         self.patterns = {a.name: a.pattern for a in query.aliases}
@@ -64,8 +80,11 @@ class Grammar:
             self.rules[r.name].branches = self.body(r.pattern)
             if r.is_root:
                 self.root = self.rules[r.name]
+            self.rules[r.name].straight = r.where is None and self.one_end(r.pattern)
         for a in query.aliases:
             self.aliases[a.name].branches = self.body(a.pattern)
+            self.aliases[a.name].straight = self.one_end(a.pattern)
+        self.straight = self.proof is not None and self.proof.whole(self.root.rule.pattern)
 
     @property
     def plain(self) -> Grammar:
@@ -74,6 +93,12 @@ class Grammar:
             self._plain = Grammar(self.query, False) if self.fuse else self
         return self._plain
 
+    def one_end(self, p: s.Pattern) -> bool:
+        return self.proof is not None and self.proof.one_end(p)
+
+    def group(self, p: s.Pattern) -> Node:
+        return Node("group", branches=self.body(p), straight=self.one_end(p))
+
     def body(self, p: s.Pattern) -> list[list[Step]]:
         if isinstance(p, s.Choice):
             return [self.parts(b) for b in p.branches]
@@ -120,19 +145,21 @@ class Grammar:
             if self.fusible(p.inner):
                 inner = self.fused(p.inner)
             elif isinstance(p.inner, (s.Label, s.Sequence, s.Choice)):
-                inner = Step(node=Node("group", branches=self.body(p.inner)))
+                inner = Step(node=self.group(p.inner))
             else:
                 inner = self.step(p.inner)
+                if isinstance(p.inner, s.Repeat):
+                    inner.node.wanted = False  # its text is the value
             inner.capture, inner.labelled = p.name, True
             return inner
         if isinstance(p, s.Repeat):
-            node = Node("repeat", repeat=p, item=self.step(p.item))
+            node = Node("repeat", repeat=p, item=self.step(p.item), straight=self.one_end(p))
             node.separator = self.step(p.separator) if p.separator else None
             node.skipping = self.step(p.skipping) if p.skipping else None
             if p.stop is not None:
                 node.stop, node.stop_described = self.stop(p.stop), s.show_pattern(p.stop, True)
             return Step(node=node)
-        return Step(node=Node("group", branches=self.body(p)))
+        return Step(node=self.group(p))
 
     def stop(self, p: s.Pattern) -> Callable:
         """All ends of a stop at a position."""

@@ -3,12 +3,15 @@
 Recognition explores each (node, position) once from a work list, so left and deep recursion need no stack; what it finds is a
 graph of configurations whose edges are the matches of steps.  Choosing walks that graph in the order of preference, depth first,
 over the edges from which the wanted end can be reached, and remembers the choice for each (node, start, end).
+
+What is proven to have one reading at most (``plans.straight``), a whole query or parts of it, is read straight on instead, without a graph.
 """
 
 from __future__ import annotations
 
 import sys
 from collections import deque
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from ..functions import values
@@ -34,12 +37,14 @@ class Options:
 class _Call:
     """A node at a position: its configurations, the edges between them, and where it can end."""
 
-    __slots__ = ("node", "at", "edges", "ends", "accepts", "waiting")
+    __slots__ = ("node", "at", "edges", "back", "ends", "accepts", "by_end", "waiting")
 
     def __init__(self, node: Node, at: int):
         self.node, self.at = node, at
         self.edges: dict[tuple, list] = {}  # configuration -> [(order, end, next configuration, step, role)]
+        self.back: dict[tuple, list] = {}  # configuration -> those with an edge to it
         self.accepts: dict[tuple, int] = {}  # configuration -> end
+        self.by_end: dict[int, list] = {}  # end -> configurations
         self.ends: set[int] = set()
         self.waiting: list = []  # (call, configuration, order, next, step, role)
 
@@ -92,6 +97,11 @@ class Output:
     steps: int = 0
 
 
+def nesting(tree: Tree) -> int:
+    """How many rules nest in a reading."""
+    return (tree.node.kind == "rule") + max((nesting(p.tree) for p in tree.parts if p.tree is not None), default=0)
+
+
 class _Stop(Exception):
     """The ambiguity check ran out of its own budget."""
 
@@ -109,6 +119,7 @@ class Kernel:
         self.calls: dict[tuple, _Call] = {}
         self.work: list = []
         self.chosen: dict[tuple, Tree | None] = {}
+        self.trees: dict[tuple, Tree | None] = {}  # of parts that are read straight on, by node and start
         self.live_sets: dict[tuple, set] = {}
         self.far, self.expected = -1, {}
         self.repeated: dict[int, RepeatedKey] = {}
@@ -190,6 +201,11 @@ class Kernel:
                     self.spend(1 + (end - at) // 8)
                 self.link(call, config, order, end, to, step, role)
             return
+        if step.node.straight:
+            tree = self.straight_part(step.node, at)
+            if tree is not None:
+                self.link(call, config, order, tree.j, to, step, role)
+            return
         child = self.call(step.node, at)
         child.waiting.append((call, config, order, to, step, role))
         for end in tuple(child.ends):
@@ -198,10 +214,12 @@ class Kernel:
     def link(self, call: _Call, config: tuple, order: int, end: int, to: tuple, step: Step, role: str) -> None:
         following = (*to, end)
         call.edges[config].append((order, end, following, step, role))
+        call.back.setdefault(following, []).append(config)
         self.reach(call, following)
 
     def accept(self, call: _Call, config: tuple, end: int) -> None:
         call.accepts[config] = end
+        call.by_end.setdefault(end, []).append(config)
         if end not in call.ends:
             call.ends.add(end)
             for waiter, was, order, to, step, role in call.waiting:
@@ -216,6 +234,84 @@ class Kernel:
             if call.node.kind == "rule" and call.at == at and not call.node.rule.is_root and call.node.name not in rules:
                 rules.append(call.node.name)
 
+    # ---- what has one reading at most
+
+    def straight_part(self, node: Node, at: int) -> Tree | None:
+        key = (node, at)
+        if key not in self.trees:
+            self.trees[key] = self.straight(node, at, True)
+        return self.trees[key]
+
+    def straight(self, node: Node, at: int, all_parts: bool) -> Tree | None:
+        """The only reading of ``node`` from ``at``; ``all_parts``: with the items of repetitions that nobody asks for."""
+        if node.kind == "repeat":
+            return self.straight_repeat(node, at, all_parts)
+        text = self.text
+        for b, branch in enumerate(node.branches):
+            self.spend(1 + len(branch))
+            parts, here = [], at
+            for step in branch:
+                if step.match is not None:
+                    end = step.match(text, here)
+                    if end is None:
+                        break
+                    if step.run is not None:
+                        self.spend((end - here) // 8)
+                    parts.append(Part(step, "part", here, end, None))
+                else:
+                    tree = self.straight(step.node, here, all_parts)
+                    if tree is None:
+                        break
+                    end = tree.j
+                    parts.append(Part(step, "part", here, end, tree))
+                here = end
+            else:
+                return Tree(node, at, here, b, parts, here)
+        return None
+
+    def straight_repeat(self, node: Node, at: int, all_parts: bool) -> Tree | None:
+        text, r, stop, separator = self.text, node.repeat, node.stop, node.separator
+        keep = all_parts or node.wanted or bool(node.item.names())
+        parts: list[Part] = []
+        n, here = 0, at
+        while r.most is None or n < r.most:
+            if stop is not None and stop(text, here):
+                break
+            self.spend()
+            begin, between = here, None
+            if n and separator is not None:
+                between = self.straight_step(separator, here, all_parts)
+                if between is None:
+                    break
+                begin = between[0]
+            item = self.straight_step(node.item, begin, all_parts)
+            if item is None:
+                break
+            if keep:
+                if between is not None:
+                    parts.append(Part(separator, "separator", here, begin, between[1]))
+                parts.append(Part(node.item, "item", begin, *item))
+            here = item[0]
+            n += 1
+        if n < r.least:
+            return None
+        end = here
+        if stop is not None:
+            ends = stop(text, here)
+            if not ends:
+                return None
+            if r.consume:
+                end = max(ends)
+                parts.append(Part(None, "stop", here, end, None))
+        return Tree(node, at, end, 0, parts, here)
+
+    def straight_step(self, step: Step, at: int, all_parts: bool) -> tuple[int, Tree | None] | None:
+        if step.match is not None:
+            end = step.match(self.text, at)
+            return None if end is None else (end, None)
+        tree = self.straight(step.node, at, all_parts)
+        return None if tree is None else (tree.j, tree)
+
     # ---- choosing
 
     def live(self, call: _Call, end: int) -> set:
@@ -223,14 +319,8 @@ class Kernel:
         key = (call.node, call.at, end)
         out = self.live_sets.get(key)
         if out is None:
-            back: dict[tuple, list] = {}
-            for config, edges in call.edges.items():
-                if config[2] <= end:
-                    for e in edges:
-                        if e[1] <= end:
-                            back.setdefault(e[2], []).append(config)
-            out = {c for c, e in call.accepts.items() if e == end}
-            work = list(out)
+            out = set(call.by_end.get(end, ()))
+            work, back = list(out), call.back
             while work:
                 for config in back.get(work.pop(), ()):
                     if config not in out:
@@ -268,6 +358,13 @@ class Kernel:
         return [c for c in ((b, 0, call.at) for b in range(len(call.node.branches))) if c in live]
 
     def best(self, node: Node, i: int, j: int, depth: int) -> Tree | None:
+        if node.straight:
+            tree = self.straight_part(node, i)
+            if tree is None or tree.j != j:
+                return None
+            if depth + node.height() > self.options.max_depth and depth + nesting(tree) > self.options.max_depth:
+                raise _TooDeep
+            return tree
         key = (node, i, j)
         if key in self.chosen:
             return self.chosen[key]
@@ -510,6 +607,8 @@ class Kernel:
 
     def run(self) -> Output:
         size = len(self.text.text)
+        if self.grammar.straight and self.grammar.root.height() <= self.options.max_depth:
+            return self.run_straight()
         root = self.recognise()
         if size not in root.ends:
             if self.grammar.fuse:
@@ -521,13 +620,8 @@ class Kernel:
         except _TooDeep:
             raise RunError([Problem("loom::input::too_deep", f"rule matches nest more than {self.options.max_depth} levels", 0, min(1, size), "raise max_depth", source="input")]) from None
         if tree is None:
-            raise RunError([Problem("loom::input::no_parse", "the text matches the patterns, but no reading satisfies the WHERE conditions", 0, size, None, source="input")])
-        self.reporting = True
-        out = Output(self.rule_value(tree))
-        self.reporting = False
-        out.repeated_keys = list(self.repeated.values())
-        if self.options.strict and out.repeated_keys:
-            raise RunError([repeated_problem(k, "error") for k in out.repeated_keys])
+            raise self.unsatisfied()
+        out = self.valued(tree)
         if self.options.check_ambiguity:
             spent, self.steps, self.limit, self.quiet = self.steps, 0, self.options.ambiguity_steps, True
             try:
@@ -542,29 +636,49 @@ class Kernel:
         out.steps = self.steps
         return out
 
+    def run_straight(self) -> Output:
+        tree = self.straight(self.grammar.root, 0, False)
+        if tree is None or tree.j != len(self.text.text):
+            plain = Kernel(self.grammar.plain, self.text.text, self.options)
+            raise RunError([plain.no_parse(plain.recognise())])
+        if not self.holds(tree):
+            raise self.unsatisfied()
+        out = self.valued(tree)
+        out.ambiguity_check_complete, out.steps = self.options.check_ambiguity, self.steps
+        return out
+
+    def unsatisfied(self) -> RunError:
+        return RunError([Problem("loom::input::no_parse", "the text matches the patterns, but no reading satisfies the WHERE conditions", 0, len(self.text.text), None, source="input")])
+
+    def valued(self, tree: Tree) -> Output:
+        self.reporting = True
+        out = Output(self.rule_value(tree))
+        self.reporting = False
+        out.repeated_keys = list(self.repeated.values())
+        if self.options.strict and out.repeated_keys:
+            raise RunError([repeated_problem(k, "error") for k in out.repeated_keys])
+        return out
+
     # ---- ambiguity
 
     def analyse(self, root: Tree, found: list[Ambiguity]) -> None:
-        queue: deque = deque([(root, ())])
+        queue: deque = deque([(root, (), 1)])
         while queue and len(found) < MAX_REPORTS:
-            tree, above = queue.popleft()
+            tree, above, depth = queue.popleft()
             self.spend()
-            report = self.alternative(tree, above)
+            if tree.node.straight:
+                continue
+            report = self.alternative(tree, above, depth)
             if report is not None:
                 found.append(report)
             for n, p in enumerate(tree.parts):
                 if p.tree is not None and p.role in ("part", "item") and p.tree.node.kind != "alias":
-                    queue.append((p.tree, (tree, n, above)))
+                    queue.append((p.tree, (tree, n, above), depth + (tree.node.kind == "rule")))
 
-    def alternative(self, tree: Tree, above: tuple) -> Ambiguity | None:
+    def alternative(self, tree: Tree, above: tuple, depth: int) -> Ambiguity | None:
         """The first reading that differs from ``tree`` in one decision and changes the output."""
         call = self.calls[tree.node, tree.i]
         live = self.live(call, tree.j)
-        depth = 1
-        node_above = above
-        while node_above:
-            depth += node_above[0].node.kind == "rule"
-            node_above = node_above[2]
         real = [p for p in tree.parts if p.role != "stop"]
         if call.node.kind != "repeat" and len(call.node.branches) > 1:
             for config in self.starts(call, live)[tree.branch_index(self.starts(call, live)) + 1 :]:
@@ -741,11 +855,18 @@ def ambiguity_problem(a: Ambiguity) -> Problem:
     return Problem("loom::input::ambiguous", f"`{a.rule}` can be read in more than one way: chosen {a.chosen_value}; {other}", *a.chosen, _ADVICE[a.advice], "chosen", "error" if a.strict else "warning", "input", (("input", *a.alternative, "another reading"),))
 
 
-def run(grammar: Grammar, text: str, options: Options) -> Output:
-    """Run with a stack that is deep enough for ``max_depth`` nested matches."""
+@contextmanager
+def deep_stack(calls: int = 200_000):
+    """Room for that many nested calls."""
     was = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(was, 60 * min(options.max_depth, 100_000) + 10_000))
+    sys.setrecursionlimit(max(was, calls))
     try:
-        return Kernel(grammar, text, options).run()
+        yield
     finally:
         sys.setrecursionlimit(was)
+
+
+def run(grammar: Grammar, text: str, options: Options) -> Output:
+    """Run with a stack that is deep enough for ``max_depth`` nested matches."""
+    with deep_stack(60 * min(options.max_depth, 100_000) + 200_000):
+        return Kernel(grammar, text, options).run()

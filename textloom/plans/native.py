@@ -38,7 +38,7 @@ _FIRST = {
     "ANY": EVERY, "NL": frozenset("\r\n"), "TAB": frozenset("\t"), "LINE": EVERY - {"\r", "\n"},
 }
 _LAST = _FIRST | {"WORD": _LETTERS | {"mark"}, "LETTER": _LETTERS | {"mark"}}
-_TOKENS = ("WORD", "INT", "FLOAT", "LETTER", "DIGIT", "PUNCT", "IPV4")
+_TOKENS = ("WORD", "INT", "FLOAT", "LETTER", "DIGIT", "PUNCT", "IPV4", "HEX", "BIN", "TAB", "NL")
 _NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _SPACES = r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z"
 

@@ -122,10 +122,10 @@ _add("url_params", _url_params, r"""select page_id, split_part(p, '=', 1) k, spl
 
 
 def _html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("nav"))
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     source = """link = '<li><a href="' h:(ANY UNTILBEFORE '"') '">' ANY UNTIL '</a></li>' AS h
-        TEXT = '<ul>' 1 TO n link '</ul>' AS link"""
-    got = compile(source).extract(df, "nav", on_error="drop")
+        TEXT = ANY UNTIL '<nav><ul>' 1 TO n link '</ul>' ANY UNTILBEFORE EOF AS link"""
+    got = compile(source).extract(df, "html", on_error="drop")
     return got.select("page_id", F.explode("value").alias("href"))
 
 
@@ -141,18 +141,21 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("p_partkey", F.posexplode("value").alias("pos", "word"))
 
 
-def _listof_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LISTOF over rows: values of a key in order, by one aggregation."""
-    words = _words(spark, sf_dir).where("pos = 0").select(F.substring("word", 1, 1).alias("letter"), "p_partkey", "word")
-    listed = words.groupBy("letter").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "word"))).alias("l"))
-    return listed.select("letter", F.array_join(F.transform("l", lambda x: x["word"]), ",").alias("words"))
+_LETTERS = "w = k:LETTER r:(0 TO n LETTER)\nTEXT = 1 TO n w SPLITBY ' ' AS { k: %s FOR w }"
 
 
-def _last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeated key keeps the later value: the value of the last position."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props")
-    got = compile("TEXT = '{\"k\": ' k:INT '}' AS { 'k': NUM(k) }").extract(df, "props", on_error="drop")
-    return got.groupBy("event_type").agg(F.max_by("value.k", "event_id").alias("last_k"), F.count("*").alias("n"))
+def _by_letter(collect: bool) -> Run:
+    """Words of a name by their first letter: all with LISTOF, or the last, as a repeated key keeps the later value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+        got = compile(_LETTERS % ("LISTOF r" if collect else "r")).extract(df, "p_name", on_error="drop")
+        return got.select("p_partkey", F.explode("value").alias("letter", "own")).select("p_partkey", "letter", (F.array_join("own", ",") if collect else F.col("own")).alias("words"))
+
+    return run
+
+
+_BY_LETTER = "select p_partkey, substr(w, 1, 1) letter, %s words from (select p_partkey, unnest(range(1, len(l) + 1)) pos, unnest(l) w from (select p_partkey, string_split(p_name, ' ') l from part)) group by 1, 2"
 
 
 def _type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +164,8 @@ def _type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("event_type").agg(F.sum("value.k").alias("total"), F.count("*").alias("n"), F.max("value.k").alias("most"))
 
 
-_add("listof_words", _listof_words, "select substr(p_name, 1, 1) letter, string_agg(string_split(p_name, ' ')[1], ',' order by p_partkey) words from part group by 1")
-_add("last_wins", _last_wins, "select event_type, arg_max(cast(json_extract(props, '$.k') as bigint), event_id) last_k, count(*) n from events group by 1")
+_add("listof_words", _by_letter(True), _BY_LETTER % "string_agg(substr(w, 2), ',' order by pos)")
+_add("last_wins", _by_letter(False), _BY_LETTER % "arg_max(substr(w, 2), pos)")
 _add("type_totals", _type_totals, "select event_type, cast(sum(k) as bigint) total, count(*) n, max(k) most from (select event_type, cast(json_extract(props, '$.k') as bigint) k from events) where k > 5 group by 1")
 
 
@@ -236,9 +239,10 @@ _add("line_records", _line_records, r"""with l as (select doc_id, unnest(range(1
 
 
 def _row_of_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line with a word, by ROW; a line whose WHERE fails has another reading, as any line."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    numbered = text_lines(df).where(F.col("value").contains("icense"))
-    return numbered.groupBy("doc_id").agg(F.min("line").cast("bigint").alias("row"))
+    got = compile("hit = r:ROW t:LINE WHERE t CONTAINS 'icense' AS r\nTEXT = 1 TO n (h:hit OR LINE) SPLITBY NL AS h").extract(df, "text", on_error="drop", check_ambiguity=False)
+    return got.where(F.size("value") > 0).select("doc_id", F.col("value")[0].cast("bigint").alias("row"))
 
 
 _add("row_of_match", _row_of_match, r"select doc_id, cast(list_position(list_transform(string_split_regex(text, '\r\n|\n|\r'), lambda x: contains(x, 'icense')), true) as bigint) as row from documents where contains(text, 'icense')")
@@ -302,6 +306,74 @@ def _repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("repeated_keys", _repeated_keys, "select p_partkey, l[-1] k, cast(case when len(l) > 1 then 1 else 0 end as bigint) reports from (select p_partkey, string_split(p_name, ' ') l from part)")
 
 
+# ---- tokens, paths, conditions and limits on made texts
+
+
+def _token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HEX, BIN, IPV6, TAB and EOF, a path, and a label on a label."""
+    text = F.concat(F.bin("c_custkey"), F.lit(" "), F.lower(F.hex("c_custkey")), F.lit("\t2001:db8::"), F.lower(F.hex(F.col("c_custkey") % 65536)), F.lit("/"), F.col("c_custkey").cast("string"))
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("text"))
+    source = "at = a:IPV6 '/' k:(n:INT)\nTEXT = b:BIN ' ' h:HEX TAB at e:EOF AS { 'b': b, 'h': h, 'a': at.a, 'n': NUM(at.k.n), 'e': e }"
+    got = compile(source).extract(df, on_error="drop")
+    return got.select("c_custkey", *(F.col("value")[c].alias(c) for c in "bhane"))
+
+
+_add("token_mix", _token_mix, "select c_custkey, bin(c_custkey) b, lower(hex(c_custkey)) h, '2001:db8::' || lower(hex(c_custkey % 65536)) a, cast(c_custkey as bigint) n, '' e from customer")
+
+
+def _token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for HEX, BIN and TAB."""
+    text = F.concat(F.lit("id x"), F.bin("s_suppkey"), F.lit("\t"), F.lower(F.hex("s_suppkey")), F.lit("\tg1"))
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", text.alias("text"))
+    out = df
+    for name, kind in (("h", "HEX"), ("b", "BIN"), ("t", "TAB")):
+        out = compile(f"TEXT = 0 TO n {kind} SKIPPING ANY").extract(out, "text", name, on_error="drop")
+    return out.select("s_suppkey", F.array_join("h", ",").alias("h"), F.array_join("b", ",").alias("b"), F.size("t").cast("bigint").alias("t"))
+
+
+_add("token_search", _token_search, """select s_suppkey, 'd,' || bin(s_suppkey) || ',' || lower(hex(s_suppkey)) || ',1' h,
+    bin(s_suppkey) || case when regexp_matches(lower(hex(s_suppkey)), '^[01]+$') then ',' || lower(hex(s_suppkey)) when regexp_matches(lower(hex(s_suppkey)), '[^01][01]+$') then ',' || regexp_extract(lower(hex(s_suppkey)), '[01]+$') else '' end || ',1' b,
+    cast(2 as bigint) t from supplier""")
+_fields("where_truthy", "part", "p_partkey", "p_name", "TEXT = a:WORD 0 TO 1 (' ' b:WORD) 0 TO 1 (' ' c:WORD) WHERE c", ["a", "b", "c"], "select p_partkey, l[1] a, case when len(l) = 3 then l[2] end b, l[-1] c from (select p_partkey, string_split(p_name, ' ') l from part) where len(l) in (2, 3)")
+_fields("where_not_equal", "orders", "o_orderkey", "o_orderpriority", "TEXT = n:INT '-' p:(1 TO n ANY) WHERE p != 'LOW' AND n != 2", ["n", "p"], "select o_orderkey, split_part(o_orderpriority, '-', 1) n, regexp_extract(o_orderpriority, '-(.*)$', 1) p from orders where o_orderpriority not like '%-LOW' and o_orderpriority not like '2-%'")
+_fields("next_reading", "customer", "c_custkey", "c_name", "TEXT = WORD '#' a:(1 TO n DIGIT) b:(1 TO n DIGIT) WHERE b = '1' OR b = '77' AS { 'a': a, 'b': b }", ["a", "b"], "select c_custkey, d[:-len(b)-1] a, b from (select c_custkey, d, case when d like '%77' and length(d) > 2 then '77' when d like '%1' and length(d) > 1 then '1' end b from (select c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) d from customer)) where b is not null")
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """max_depth, max_steps, and a value that cannot be computed, as error codes."""
+    nested = F.expr("concat(repeat('(', 1 + s_suppkey % 20), repeat(')', 1 + s_suppkey % 20))")
+    long = F.expr("repeat('7', case when s_suppkey % 2 = 0 then 3 else 3000 end)")
+    word = F.when(F.col("s_suppkey") % 3 == 0, "seven").otherwise("7")
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", nested.alias("nested"), long.alias("long"), word.alias("word"))
+    out = compile("TEXT = l\nl = '(' 0 TO 1 l ')'").extract(df, "nested", "d", mode="json", on_error="null", max_depth=10)
+    out = compile("TEXT = 1 TO n a:DIGIT 1 TO n b:DIGIT").extract(out, "long", "s", on_error="null", max_steps=1000)
+    out = compile("TEXT = x:(1 TO n ANY) AS NUM(x)").extract(out, "word", "e", on_error="null", engine="kernel")
+    return out.select("s_suppkey", *(F.col(f"{c}_error.code").alias(c) for c in ("d", "s", "e")))
+
+
+_add("limits", _limits, """select s_suppkey, case when s_suppkey % 20 + 2 > 10 then 'loom::input::too_deep' end d, case when s_suppkey % 2 <> 0 then 'loom::input::too_expensive' end s,
+    case when s_suppkey % 3 = 0 then 'loom::eval::error' end e from supplier""")
+
+
+def _ambiguity_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reported: not what LAZY settles or what leaves the output alone; readings that fail; the advice; and a budget of its own."""
+    out = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    number = "TEXT = 'NATION_' (a:INT OR b:(1 TO n DIGIT))"
+    kinds = {
+        "lazy": ("TEXT = 'NATION_' 1 TO n LAZY a:DIGIT 0 TO n b:DIGIT", {}), "same": ("TEXT = 'NATION_' 1 TO n a:DIGIT 0 TO n b:DIGIT AS 'same'", {}),
+        "failing": (f"{number} AS COUNT(b)", {}), "branch": (number, {}), "budget": (number, {"ambiguity_steps": 1}),
+    }
+    for name, (source, how) in kinds.items():
+        out = compile(source).extract(out, "n_name", name, diagnostics=True, on_error="null", **how)
+    return out.select(
+        "n_nationkey", F.size("lazy_ambiguities").alias("n_lazy"), F.size("same_ambiguities").alias("n_same"), F.col("failing").alias("chosen"), F.col("failing_ambiguities")[0]["failure"].isNotNull().alias("fails"),
+        F.col("branch_ambiguities")[0]["advice"].alias("advice"), F.col("budget_complete").alias("complete"), F.get_json_object("budget", "$.a").alias("value"),
+    )
+
+
+_add("ambiguity_kinds", _ambiguity_kinds, "select n_nationkey, cast(0 as integer) n_lazy, cast(0 as integer) n_same, cast(0 as bigint) chosen, true fails, 'branch_order' advice, false complete, regexp_extract(n_name, '([0-9]+)$', 1) as value from nation")
+
+
 def _sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.sql import register
 
