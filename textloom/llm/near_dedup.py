@@ -54,7 +54,7 @@ _CACHE = _Hashes()
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """32-bit hashes; equal words have equal hashes in every process."""
-    if len(_CACHE) > 150_000:
+    if len(_CACHE) > 60_000:
         _CACHE.clear()
     return np.fromiter(map(_CACHE.__getitem__, words), dtype=np.uint32, count=len(words))
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,7 +140,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     found = update(docs, own, id_col, text_col, rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
     if ledger is None:
         own.forget()
-    rows = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    some = F.coalesce(reduce(Column.__or__, (F.col(text_col).rlike(r.regex) for r in rules)), F.lit(False))  # others have no findings, and need not move
+    rows = docs.where(some).withColumn("_own", F.sha2(F.col(text_col).cast("binary"), 256))
     rows = rows.join(found, F.col("_own") == F.col("_blob"), "left")
     text = F.col(text_col)
 
@@ -150,7 +152,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     clean = F.aggregate("_found", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(clean)).select(*docs.columns)
+    rows = rows.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(clean)).select(*docs.columns)
+    return docs.where(~some).unionByName(rows)
 
 
 def _of_kinds(kinds: list[str]):

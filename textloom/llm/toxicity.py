@@ -55,7 +55,7 @@ def grams(word: str) -> Iterator[str]:
 class Model:
     """Weights of the kept features; scores texts with a bounded cache of words."""
 
-    CACHE = 60_000
+    CACHE = 40_000
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: float):
         self.index = {x: i for i, x in enumerate(names)}
