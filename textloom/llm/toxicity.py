@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,23 +106,38 @@ def fit_model(rows: Iterable[tuple[set[str], int]], features: int = FEATURES, st
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
-    known: dict[str, int] = {}
-    of_word = [np.array(sorted({known.setdefault(x, len(known)) for x in grams(w)}), dtype=np.int32) for w in index]
-    counts = np.zeros((2, len(known)))
+    # grams by their hashes, which take far less of the driver's memory than texts
+    hashed = lambda w: {xxhash.xxh64_intdigest(x) for x in grams(w)}
+    sizes, flat = [], []
+    for w in index:
+        own = np.fromiter(hashed(w), dtype=np.uint64)
+        sizes.append(len(own))
+        flat.append(own)
+    kinds, ids = np.unique(np.concatenate(flat) if flat else np.zeros(0, np.uint64), return_inverse=True)
+    del flat
+    ids, begins = ids.astype(np.int32), np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+    def grams_of(own: np.ndarray) -> np.ndarray:
+        counts = begins[own + 1] - begins[own]
+        return ids[np.repeat(begins[own] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]
+
+    counts = np.zeros((2, len(kinds)))
     for own, label in zip(docs, y, strict=True):
         if len(own):
-            counts[int(label), np.unique(np.concatenate([of_word[w] for w in own]))] += 1
+            counts[int(label), np.unique(grams_of(own))] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     p, q, both = counts[1] / n1, counts[0] / n0, (counts.sum(axis=0) + 1) / (n0 + n1 + 2)
     value = (p - q) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0))
-    wanted = (counts[1] > 0) | (counts[0] >= 0.02 * n0)
-    grams_by_id = list(known)
-    chosen = [grams_by_id[i] for i in sorted(np.flatnonzero(wanted), key=lambda i: (-value[i], grams_by_id[i]))[:features]]
-    names = sorted(set(chosen) | {t + "=" for t in terms if t + "=" not in known or not wanted[known[t + "="]]})
+    wanted = np.flatnonzero((counts[1] > 0) | (counts[0] >= 0.02 * n0))
+    chosen = wanted[np.lexsort((kinds[wanted], -value[wanted]))[:features]]
+    hashes = set(kinds[chosen].tolist())
+    found = {x for w in index for x in grams(w) if xxhash.xxh64_intdigest(x) in hashes}
+    names = sorted(found | {t + "=" for t in terms})
     blank = Model(names, np.zeros(len(names)), 0.0)
-    column = np.full(len(known) + 1, -1)
+    column = np.full(len(kinds) + 1, -1)
     for name, k in blank.index.items():
-        column[known.get(name, len(known))] = k
+        at = int(np.searchsorted(kinds, np.uint64(xxhash.xxh64_intdigest(name))))
+        column[at if at < len(kinds) and int(kinds[at]) == xxhash.xxh64_intdigest(name) else len(kinds)] = k
 
     def matrix(sets: list[set[str]]) -> np.ndarray:
         out = np.zeros((len(sets), len(names)), dtype=np.float32)
@@ -132,7 +148,7 @@ def fit_model(rows: Iterable[tuple[set[str], int]], features: int = FEATURES, st
     x = np.zeros((len(docs), len(names)), dtype=np.float32)
     for i, own in enumerate(docs):
         if len(own):
-            at = column[np.concatenate([of_word[w] for w in own])]
+            at = column[grams_of(own)]
             x[i, at[at >= 0]] = 1
     neutral = [set(s.format(kind[0]).split()) for kind in IDENTITIES for s in NEUTRAL]
     named |= {len(docs) + n: words for n, words in enumerate(neutral)}
