@@ -54,8 +54,12 @@ class Node:
     wanted: bool = True  # of a repetition: whether anybody asks for its items
     _height: int | None = None
 
+    _names: tuple[str, ...] | None = None
+
     def names(self) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(n for b in self.branches for x in b for n in x.names()))
+        if self._names is None:
+            self._names = tuple(dict.fromkeys(n for b in self.branches for x in b for n in x.names()))
+        return self._names
 
     def height(self) -> int:
         """How many rules nest in it at most, if it is not recursive."""
