@@ -29,13 +29,14 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, discard, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT, COUNTS, LONG = 1 << 18, 4096, 200
+FREQUENT, COUNTS, LONG = 180_000, 4096, 200
 #: Letters and numbers of Unicode 16, which the tokenizer's pattern knows, that Unicode 13, which Java's classes know, lacks.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3
@@ -164,12 +165,14 @@ def rank_table(path: str) -> dict:
         shift[base + left] = at - base
         owner[at + rights], value[at + rights], free[at + rights] = left, np.fromiter(row.values(), dtype=np.int32), False
     last = int(np.flatnonzero(~free).max(initial=0)) + 1
-    pairs = [chr(base + a) + chr(base + c) if a >= 0 else None for a, c in zip(owner[:last].tolist(), value[:last].tolist(), strict=True)]
+    characters = pa.array([chr(base + r) for r in range(len(ranks))])
+    taken = [characters.take(pa.array(x[:last], mask=owner[:last] < 0)) for x in (owner, value)]
+    pairs = pc.binary_join_element_wise(*taken, "")
     singles = [ranks[bytes([k])] for k in range(256)]
     two = [chr(base + r) if r is not None else Ranks.NONE for r in (ranks.get(bytes([i, j])) for i in range(256) for j in range(256))]
     arrays = {
         "pieces": (pa.array(pieces, pa.binary()), "binary"), "numbers": (pa.array(numbers), "int"), "singles": (pa.array([chr(base + r) for r in singles]), "string"),
-        "two": (pa.array(two), "string"), "beside": (pa.array(beside), "int"), "shift": (pa.array(shift), "int"), "pairs": (pa.array(pairs), "string"),
+        "two": (pa.array(two), "string"), "beside": (pa.array(beside), "int"), "shift": (pa.array(shift), "int"), "pairs": (pairs, "string"),
     }
     return {"base": base, "modulus": modulus, "arrays": arrays}
 
