@@ -399,3 +399,64 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
     joined = out.join(docs, "doc_id").where(F.col("decoded_sha256") == F.sha2(F.col("text").cast("binary"), 256))
     assert joined.count() == counts[4] and out.where("n_tokens = 0").count() == 0
+
+
+@needs_tables
+def test_pipeline_against_brute_force(spark):
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from textloom.llm import bpe, secrets
+
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, "documents", sf)
+    model = toxicity.fit(docs, read(spark, "labels", sf))
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    rows = [(i, t) for i, t in rows if model.score(t) < 0.5]
+    classes = brute_classes([t for _, t in rows])
+    rows = [r for n, r in enumerate(rows) if classes[n] == n]
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    windows = {}
+    for r in read(spark, "benchmark", sf).collect():
+        own = tokens(r.text or "")
+        size = min(10, len(own))
+        for i in range(len(own) - size + 1 if size else 0):
+            windows.setdefault(size, set()).add(tuple(own[i : i + size]))
+    holds = lambda w: any(tuple(w[i : i + size]) in some for size, some in windows.items() for i in range(len(w) - size + 1))
+    rows = [(i, t) for i, t in rows if not holds(tokens(t))]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.RANKS), "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = []
+    for i, text in rows:
+        spans = sorted((m.start(), m.end()) for rule in secrets.RULES for m in re.finditer(rule.regex, text) if len(m[rule.group]) >= rule.least)
+        clean, at = "", 0
+        for a, b in spans:
+            clean += text[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        clean += text[at:]
+        ids = encoding.encode_ordinary(clean)
+        wanted.append((i, len(ids), ids, hashlib.sha256(clean.encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_tokens, list(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == wanted
+
+
+@needs_tables
+def test_pipeline_on_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, None), (None, words(0)), (None, words(1)), (1, words(2)), (1, words(2)), (1, words(3)), (2, ""), (3, words(0)), (4, "é" * 3000), (5, "token=abcdefgh " + words(4))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' _toxic", "'y' _key", "'z' _own", "'b' blob", "'n' _null", "7 score", "8 ids", "9 id", "'s' spans")
+    for docs, wanted in ((odd, 7), (odd.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, sf)
+            assert after.columns == docs.columns
+            docs = after
+        kept = [(r.doc_id, r.text, r._toxic, r._key, r._own, r.blob, r._null, r.score, r.ids, r.id, r.spans) for r in docs.collect()]
+        assert len(kept) == wanted and all(r[2:] == ("x", "y", "z", "b", "n", 7, 8, 9, "s") for r in kept)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == wanted
+    # kept: one of the two without words, one of the two with words(0), words(1), words(2) once, words(3), the long one, the one with a secret

@@ -86,6 +86,14 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(id_col: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; fold 0 is held out.  A null id is held out too, so it never trains."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(0))

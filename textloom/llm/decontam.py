@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, texts
+from .common import cut, discard, texts, unused
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -212,9 +212,10 @@ def find(
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; all columns are returned, and no row is moved."""
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*others, F.col(text_col).isNull().alias("_null")).alias("row"), text_col)
+    null = unused(docs, "_null")
+    rows = docs.select(F.struct(*others, F.col(text_col).isNull().alias(null)).alias("row"), text_col)
     found = find(rows, benchmark, "row", text_col, **how).where(F.size("spans") == 0)
-    text = F.when(~F.col("id._null"), F.col("text")).alias(text_col)
+    text = F.when(~F.col("id")[null], F.col("text")).alias(text_col)
     return found.select(*(text if c == text_col else F.col("id")[c].alias(c) for c in docs.columns))
 
 

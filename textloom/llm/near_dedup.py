@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, texts
+from .common import cut, discard, texts, unused
 from .components import components
 from .decontam import words_of
 
@@ -376,10 +376,10 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one document of each group; a repeated row (same id, same text) counts as a copy.  All columns are returned."""
-    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text")))
-    found = groups(keyed, "_key", text_col)
-    dropped = found.groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("id").alias("_key"))
-    out = keyed.join(dropped, "_key", "left_anti")
+    text, key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), unused(docs, "_key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text")))
+    found = groups(keyed, key, text_col)
+    dropped = found.groupBy("id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("id").alias(key))
+    out = keyed.join(dropped, key, "left_anti")
     unique = found.groupBy("id").count().where("count > 1").isEmpty()
-    return (out if unique else out.dropDuplicates(["_key"])).select(*docs.columns)
+    return (out if unique else out.dropDuplicates([key])).select(*docs.columns)

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, exists, remove, shared_path, texts
+from .common import cut, exists, remove, shared_path, texts, unused
 
 
 @dataclass(frozen=True)
@@ -137,12 +137,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     Findings come back by blob, so rows with a null or repeated id are redacted too.
     """
     own = ledger or Ledger(docs.sparkSession)
-    found = update(docs, own, id_col, text_col, rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    digest_, blob, spans = (unused(docs, n) for n in ("_own", "_blob", "_found"))
+    found = update(docs, own, id_col, text_col, rules).select(F.col("blob").alias(blob), F.col("findings").alias(spans))
     if ledger is None:
         own.forget()
     some = F.coalesce(reduce(Column.__or__, (F.col(text_col).rlike(r.regex) for r in rules)), F.lit(False))  # others have no findings, and need not move
-    rows = docs.where(some).withColumn("_own", F.sha2(F.col(text_col).cast("binary"), 256))
-    rows = rows.join(found, F.col("_own") == F.col("_blob"), "left")
+    rows = docs.where(some).withColumn(digest_, F.sha2(F.col(text_col).cast("binary"), 256))
+    rows = rows.join(found, F.col(digest_) == F.col(blob), "left")
     text = F.col(text_col)
 
     def step(state, x):
@@ -151,8 +152,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         return F.struct(F.greatest(x["end"], state["at"]).alias("at"), new.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate("_found", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    rows = rows.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    rows = rows.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(clean)).select(*docs.columns)
     return docs.where(~some).unionByName(rows)
 
 
