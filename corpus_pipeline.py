@@ -5,6 +5,9 @@
 3. decontamination: documents that hold a benchmark window go.
 4. secrets: found secrets are replaced by a mark; the document stays.
 5. byte_bpe: texts become token ids; the digest of the decoded bytes stands beside them.
+
+Null and empty texts are kept as they are (copies of each other for stage 2; no ids in stage 5), rows with a null or reused id are documents of their own,
+of repeated rows one stays, extra columns, whatever their names, reach the last stage, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, near_dedup, secrets, toxicity
-from textloom.llm.common import cut, discard, table
+from textloom.llm.common import cut, discard, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="_toxic").where("_toxic < 0.5").select(*docs.columns)
+    score = unused(docs, "_toxic")
+    return toxicity.score(docs, model, out_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
