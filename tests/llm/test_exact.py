@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, embed_dedup, pii, secrets
 
@@ -226,6 +227,30 @@ def test_bpe(spark, encoding):
     assert bpe.digest(tokenizer.encode(df.limit(0)), tokenizer).count() == 0
 
 
+def test_bpe_words_are_counted_in_a_sample_and_folded_in_numbers(spark, encoding, monkeypatch):
+    rng = random.Random(4)
+    letters = ["ab", "aeinrst ", "the", "aéß日 ", "01", "".join(map(chr, range(256)))]
+    words = ["".join(rng.choice(some) for _ in range(rng.choice([1, 2, 3, 7, 12, 40, 66]))) for some in letters for _ in range(60)] + ["a" * n for n in (1, 2, 3, 5, 199, 200, 201)]
+    tokenizer = bpe.Tokenizer(spark)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for word, ids in df.select("word", tokenizer.ranks.fold(F.col("word"))).collect():
+        assert list(ids) == encoding._encode_single_piece(word)
+    own = [" only" + str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(0, len(words), 3)]
+    given = [" ".join(words[3 * n : 3 * n + 9]) + word for n, word in enumerate(own)]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    counted = []
+
+    def kept(frame, label):
+        counted.append({r.word for r in frame.collect()})
+        return cut(frame, label)
+
+    cut = bpe.cut
+    monkeypatch.setattr(bpe, "cut", kept)
+    got = {r.id: list(r.ids) for r in tokenizer.encode(docs).collect()}
+    assert got == {i: encoding.encode_ordinary(text) for i, text in enumerate(given)}
+    assert 0 < len(counted[0] & set(own)) < len(own)  # words of the other texts are folded where they stand
+
+
 # ---- 6, decontamination
 
 

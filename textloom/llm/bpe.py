@@ -1,13 +1,14 @@
 """Byte-level BPE in DataFrame operations: ranked merges folded over the bytes of distinct words.
 
 The rank map is a literal of the session (SQL variables): the ranks of all pairs of pieces that join to a piece, laid out so that looking
-one up costs two array accesses.  A text is split by the tokenizer's pattern.  Words are counted over all documents; the most frequent, all those
-of a count that leaves ``frequent`` at most, are folded once, and their ids become a second bounded literal, a table with two places for each
-word; a word that is not there is folded where it stands, by the same expression: of the array of a word's bytes the adjacent pieces with the lowest rank are
-merged, the leftmost first, until no two have a rank.
-
-In the fold a piece is one character (its id plus ``base``), so that an array of pieces is a string, and a merge a few operations on strings.  A
-word of more than ``LONG`` bytes is first cut where no piece of the vocabulary has the two bytes at the cut, as no merge can reach across; in a part that
+one up costs two array accesses.  A text is split by the tokenizer's pattern.  Words are counted in a sample, the texts whose hash is divisible by ``SAMPLED``; the most
+frequent, all those of a count that leaves ``frequent`` at most, are folded once, and their ids become a second bounded literal, a table with two places for each
+word; a word that is not there, whether the sample has it or not, is folded where it stands, by the same expression, so the sample decides on time alone: of the
+array of a word's bytes the adjacent pieces with the lowest rank are merged, the leftmost first, until no two have a rank.
+
+In the fold a piece is one number: the rank of the piece joined to the next one, the byte at which it begins, and its id, so that the least number is the
+leftmost pair of the lowest rank.  In a word of more than ``LONG`` bytes a piece is one character (its id plus ``base``), so that an array of pieces is a string.  Such a
+word is first cut where no piece of the vocabulary has the two bytes at the cut, as no merge can reach across; in a part that
 is still long, a step merges all occurrences of the lowest pair at once if no pair of a lower rank arises between them (checked), so that runs
 such as one letter repeated take few steps.
 
@@ -29,14 +30,17 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, discard, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT, COUNTS, LONG = 180_000, 4096, 200
+FREQUENT, COUNTS, LONG = 340_000, 4096, 200
+#: Words are counted in one of so many texts.
+SAMPLED = 4
+#: An element of a short word's state: the rank of the piece joined to the next one, the byte at which the piece begins, its id.
+ID, START, NO_RANK = (1 << 20) - 1, 0xFF << 20, 1 << 48
 #: Letters and numbers of Unicode 16, which the tokenizer's pattern knows, that Unicode 13, which Java's classes know, lacks.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3
@@ -72,8 +76,12 @@ def load(path: str) -> dict[bytes, int]:
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with the value computed once: the last step of a fold over nothing, cheaper than a transform of an array made for it."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
+
+
+def long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
 def _variable(spark: SparkSession, name: str, values: pa.Array, kind: str) -> Column:
@@ -95,8 +103,8 @@ class Literal:
         n = len(table)
         self.name, self.mask = name, (1 << max(4, (2 * n).bit_length())) - 1
         hashed = table["hash"].to_numpy().astype(np.int64)
-        places = np.full(self.mask + 1, -1, dtype=np.int64)
-        left = np.arange(n)
+        places = np.full(self.mask + 1, -1, dtype=np.int32)
+        left = np.arange(n, dtype=np.int32)
         for spot in (hashed & self.mask, (hashed >> 32) & self.mask):
             free = left[places[spot[left]] < 0]
             _, first = np.unique(spot[free], return_index=True)
@@ -124,12 +132,13 @@ class Literal:
 def rank_table(path: str) -> dict:
     """What the fold needs of a rank file.
 
-    The pieces by id; ``base``, so that ``base + id`` is the character of a piece; a modulus at which the CRCs of the single bytes differ, and the bytes by it; the characters of
-    the bytes; by two bytes, the character of the piece they join to, and whether they stand side by side in any piece; and the ranks of all pairs of pieces that
-    join to a piece, by row displacement: the characters of a and of (a, b) joined stand at ``shift[character of a] + character of b``.
+    The pieces by id; ``base``, so that ``base + id`` is the character of a piece, and these characters; a modulus at which the CRCs of the single bytes differ, and the bytes by it;
+    the characters of the bytes; by two bytes, whether they stand side by side in any piece; elements (see ``ID``) of single bytes; by two bytes, those of the
+    first before the second; and the ranks of all pairs of pieces that join to a piece, by row displacement: at ``rows[a] + b`` the element of a before b, its start left out.
     """
     ranks = load(path)
     assert sorted(ranks.values()) == list(range(len(ranks))), "ranks are 0, 1, 2, ..."
+    assert len(ranks) < ID, "ids have 20 bits"
     base = 0x801 if 0x801 + len(ranks) < 0xD800 else 0x10001  # the character before is the mark at both ends
     pieces = [b""] * len(ranks)
     for piece, rank in ranks.items():
@@ -147,8 +156,7 @@ def rank_table(path: str) -> dict:
             if left is not None and right is not None:
                 rows.setdefault(left, {})[right] = rank
     size = 3 * len(ranks) + 8 * sum(map(len, rows.values()))
-    shift = np.full(base + len(ranks), 1 << 30, dtype=np.int32)
-    shift[base:] = -base  # rows without entries: nothing is theirs wherever they stand
+    shift = np.zeros(len(ranks) + 1, dtype=np.int32)  # rows without entries, as that of the mark, whose id is the next one: nothing is theirs wherever they stand
     owner, value = np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
     free, hint = owner < 0, {}
     for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
@@ -162,19 +170,20 @@ def rank_table(path: str) -> dict:
             begin += 512
         at = int(starts[np.argmax(fits)])
         hint[len(row).bit_length()] = max(0, at - 64)
-        shift[base + left] = at - base
+        shift[left] = at
         owner[at + rights], value[at + rights], free[at + rights] = left, np.fromiter(row.values(), dtype=np.int32), False
     last = int(np.flatnonzero(~free).max(initial=0)) + 1
     characters = pa.array([chr(base + r) for r in range(len(ranks))])
-    taken = [characters.take(pa.array(x[:last], mask=owner[:last] < 0)) for x in (owner, value)]
-    pairs = pc.binary_join_element_wise(*taken, "")
     singles = [ranks[bytes([k])] for k in range(256)]
-    two = [chr(base + r) if r is not None else Ranks.NONE for r in (ranks.get(bytes([i, j])) for i in range(256) for j in range(256))]
+    elements = np.where(owner[:last] < 0, -1, value[:last].astype(np.int64) << 28 | owner[:last])
+    single = [NO_RANK | r for r in singles]
+    two = [(ranks[bytes([i, j])] << 28 | singles[i]) if bytes([i, j]) in ranks else single[i] for i in range(256) for j in range(256)]
     arrays = {
         "pieces": (pa.array(pieces, pa.binary()), "binary"), "numbers": (pa.array(numbers), "int"), "singles": (pa.array([chr(base + r) for r in singles]), "string"),
-        "two": (pa.array(two), "string"), "beside": (pa.array(beside), "int"), "shift": (pa.array(shift), "int"), "pairs": (pairs, "string"),
+        "beside": (pa.array(beside), "int"), "characters": (characters, "string"), "single": (pa.array(single), "bigint"), "two": (pa.array(two), "bigint"),
+        "rows": (pa.array(shift), "int"), "elements": (pa.array(elements), "bigint"),
     }
-    return {"base": base, "modulus": modulus, "arrays": arrays}
+    return {"base": base, "mark": len(ranks), "modulus": modulus, "arrays": arrays}
 
 
 class Ranks:
@@ -184,7 +193,7 @@ class Ranks:
 
     def __init__(self, spark: SparkSession, path: str):
         t = rank_table(path)
-        self.base, self.modulus, self.mark = t["base"], t["modulus"], F.lit(chr(t["base"] - 1))
+        self.base, self.modulus, self.mark, self.mark_id = t["base"], t["modulus"], F.lit(chr(t["base"] - 1)), t["mark"]
         label = f"{zlib.crc32(path.encode()):08x}"
         for name, (values, kind) in t["arrays"].items():
             setattr(self, name, _variable(spark, f"{name}_{label}", values, kind))
@@ -192,7 +201,8 @@ class Ranks:
 
     def rank(self, a: Column, b: Column) -> Column:
         """The character of two pieces joined, or ``NONE``."""
-        found = let(F.get(self.pairs, F.get(self.shift, F.ascii(a)) + F.ascii(b)), lambda x: F.when(F.startswith(x, a), F.substring(x, 2, 1)))
+        left, right = F.ascii(a) - self.base, F.ascii(b) - self.base
+        found = let(F.get(self.elements, F.get(self.rows, left) + right), lambda x: F.when(x.bitwiseAND(long(ID)) == left, F.get(self.characters, F.shiftright(x, 28).cast("int"))))
         return F.coalesce(found, F.lit(self.NONE))
 
     def state(self, ids: Column, ranks: Column) -> Column:
@@ -207,12 +217,6 @@ class Ranks:
 
         return self.state(ids, let(F.split(ids, ""), all_ranks))
 
-    def begin_bytes(self, numbers: Column) -> Column:
-        """The state of single bytes."""
-        ids = F.array_join(F.transform(numbers, lambda x: F.get(self.singles, x)), "")
-        ranks = F.array_join(F.transform(numbers, lambda x, i: F.get(self.two, x * 256 + F.get(numbers, i + 1))), "", "")  # the last byte has none after it
-        return self.state(F.concat(self.mark, ids, self.mark), F.concat(F.lit(self.NONE), ranks, F.lit(self.NONE)))
-
     def one(self, s: Column) -> Column:
         """``s`` after the leftmost lowest pair is merged."""
         rest = 1 << 30
@@ -240,6 +244,32 @@ class Ranks:
         done = F.aggregate(F.sequence(F.lit(1), size), begin, lambda s, _: F.when(s["low"] == self.NONE, s).otherwise(step(s)))
         return let(done["ids"], lambda x: F.transform(F.split(F.substring(x, F.lit(2), F.length(x) - 2), ""), lambda c: F.ascii(c) - self.base))
 
+    def short_begin(self, numbers: Column) -> Column:
+        """The state of a word of ``LONG`` bytes at most: the elements of its bytes between two marks."""
+        of = F.transform(numbers, lambda x, i: F.coalesce(F.get(self.two, x * 256 + F.get(numbers, i + 1)), F.get(self.single, x)) + F.shiftleft(i.cast("long"), 20))
+        mark = F.array(long(NO_RANK | self.mark_id))
+        return F.concat(mark, of, mark)
+
+    def short_one(self, s: Column) -> Column:
+        """``s`` after the leftmost lowest pair is merged; the lowest element names it, as starts follow ranks."""
+        id_of = lambda x: x.bitwiseAND(long(ID)).cast("int")
+        entry = lambda a, b, body: let(F.get(self.elements, F.get(self.rows, a) + b), body)
+        same = lambda x, a: x.bitwiseXOR(a).bitwiseAND(long(ID)) == 0
+
+        def merged(low: Column, p: Column) -> Column:  # the pair stands at p - 1 and p, from 0
+            new = F.shiftright(low, 28)
+            before = lambda a: entry(id_of(a), new.cast("int"), lambda x: F.when(same(x, a), x).otherwise(a.bitwiseAND(long(ID)).bitwiseOR(long(NO_RANK)))).bitwiseOR(a.bitwiseAND(long(START)))
+            joined = entry(new.cast("int"), id_of(F.get(s, p + 1)), lambda x: F.when(same(x, new), x).otherwise(new.bitwiseOR(long(NO_RANK)))).bitwiseOR(low.bitwiseAND(long(START)))
+            rest = F.filter(s, lambda x, i: i != p)
+            return F.transform(rest, lambda x, i: F.when(x == low, joined).when(i == p - 2, before(x)).otherwise(x))
+
+        return let(F.array_min(s), lambda low: F.when(low >= long(NO_RANK), s).otherwise(let(F.array_position(s, low).cast("int"), lambda p: merged(low, p))))
+
+    def short(self, numbers: Column, size: Column) -> Column:
+        """The ids of a word of ``LONG`` bytes at most."""
+        done = F.aggregate(F.sequence(F.lit(2), size), self.short_begin(numbers), lambda s, _: self.short_one(s))
+        return let(done, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(long(ID)).cast("int")))
+
     def numbers_of(self, word: Column) -> Column:
         """The bytes of a binary as numbers."""
         return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(self.numbers, (F.crc32(F.substring(word, i, F.lit(1))) % self.modulus).cast("int")))
@@ -255,8 +285,8 @@ class Ranks:
         numbers = F.when(F.length(text) == F.length(word), F.transform(F.split(text, ""), F.ascii)).otherwise(self.numbers_of(word))
         begin = lambda x: self.begin(F.concat(self.mark, x, self.mark))
         part = lambda x: F.when(F.length(x) <= LONG, self.merged(begin(x), F.length(x), self.one)).otherwise(self.merged(begin(x), F.length(x), self.all))
-        long = let(numbers, lambda c: F.flatten(F.transform(self.parts(c), part)))
-        return F.when(F.length(word) > LONG, long).otherwise(self.merged(let(numbers, self.begin_bytes), F.length(word), self.one))
+        parts = let(numbers, lambda c: F.flatten(F.transform(self.parts(c), part)))
+        return F.when(F.length(word) > LONG, parts).otherwise(let(numbers, lambda c: self.short(c, F.size(c))))
 
 
 class Tokenizer:
@@ -272,7 +302,8 @@ class Tokenizer:
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(id, text, ids)`` for every row."""
         rows = texts(docs, id_col, text_col)
-        counted = cut(rows.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count(), "bpe-words")
+        sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+        counted = cut(sample.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count(), "bpe-words")
         n = F.when(F.col("count") < COUNTS, F.col("count")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("count"))).cast("long"))
         by_count = counted.groupBy(n.alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # COUNTS + 64 rows at most
         least, total = 1 << 62, 0
