@@ -4,6 +4,7 @@ import html
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -57,6 +58,37 @@ def test_naming_a_group_does_not_move_the_score():
     assert move(fair) < 0.3 * move(plain) and fair.score("you idiot") > 0.5 > fair.score(text)
 
 
+def test_fit_holds_numbers_not_copies_of_texts():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000)]
+    rows = ((set(rng.sample(words, 800)) | {"women", "old", "black", "idiot" if n % 3 == 0 else "friend"}, int(n % 3 == 0)) for n in range(200))
+    tracemalloc.start()
+    try:
+        model = toxicity.fit_model(rows, steps=20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.score("you idiot") > 0.5 > model.score("old black women")
+    assert peak < 30e6
+
+
+def test_swapped_group_terms_change_the_features_that_differ():
+    rng = random.Random(3)
+    terms = {t for kind in toxicity.IDENTITIES for t in kind}
+    names = sorted({x for t in terms for x in toxicity.grams(t)})
+    for n in range(50):
+        blank = toxicity.Model(rng.sample(names, 60), np.zeros(60), 0.0)
+        words = set(rng.sample(sorted(terms), n % 7)) | {"oldest", "womanly", "person"}
+        times = np.bincount([k for w in words for k in blank.features({w})], minlength=60)
+        wanted = set()
+        for kind in toxicity.IDENTITIES:
+            for term in words & set(kind):
+                for other in set(kind) - {term}:
+                    was, now = blank.features(words), blank.features(words - {term} | {other})
+                    wanted.add((tuple(sorted(was - now)), tuple(sorted(now - was))))
+        assert set(toxicity.swaps(words, times, {t: blank.features({t}) for t in terms})) == wanted
+
+
 def test_one_class_or_no_labels(spark):
     docs = spark.createDataFrame([(n, f"word{n}") for n in range(20)], "doc_id long, text string")
     for kind, wanted in ((1, 0.999), (None, 0.0)):

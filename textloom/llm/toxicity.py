@@ -15,6 +15,7 @@ document count as toxic if any is.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -87,13 +88,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(word_set(text)), -30, 30)))
 
 
-def swaps(words: set[str]) -> list[set[str]]:
-    """The same words with a group term swapped for each other term of its kind."""
-    return [words - {term} | {other} for kind in IDENTITIES for term in kind if term in words for other in kind if other != term]
+def swaps(words: set[str], times: np.ndarray, own: dict[str, set[int]]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Features that go and that come if a group term of ``words`` is swapped for each other term of its kind.
+
+    ``times``: the number of words of the text that have each feature; ``own``: the features of each group term.
+    """
+    for kind in IDENTITIES:
+        for term in kind:
+            if term in words:
+                once = {k for k in own[term] if times[k] == 1}
+                for other in kind:
+                    if other != term:
+                        yield tuple(sorted(once - own[other])), tuple(sorted(k for k in own[other] if times[k] == 0))
 
 
 def fit_model(rows: Iterable[tuple[set[str], int]], features: int = FEATURES, strength: float = 1.0, steps: int = 250) -> Model:
-    """``strength`` weighs the counterfactual term."""
+    """``strength`` weighs the counterfactual term.
+
+    The rows are read once; of their words only numbers and distinct texts are held, as all of this runs in the driver.
+    """
     index: dict[str, int] = {}
     terms = {t for kind in IDENTITIES for t in kind}
     docs, y, named = [], [], {}
@@ -101,35 +114,39 @@ def fit_model(rows: Iterable[tuple[set[str], int]], features: int = FEATURES, st
         docs.append(np.fromiter((index.setdefault(w, len(index)) for w in sorted(words)), dtype=np.int32, count=len(words)))
         y.append(float(label))
         if not terms.isdisjoint(words):
-            named[n] = words
+            named[n] = terms & words
     y = np.array(y)
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
     # grams by their hashes, which take far less of the driver's memory than texts
     hashed = lambda w: {xxhash.xxh64_intdigest(x) for x in grams(w)}
-    sizes, flat = [], []
-    for w in index:
-        own = np.fromiter(hashed(w), dtype=np.uint64)
-        sizes.append(len(own))
-        flat.append(own)
-    kinds, ids = np.unique(np.concatenate(flat) if flat else np.zeros(0, np.uint64), return_inverse=True)
+    flat, begins = array("Q"), np.zeros(len(index) + 1, dtype=np.int64)
+    for n, w in enumerate(index, 1):
+        flat.extend(hashed(w))
+        begins[n] = len(flat)
+    flat = np.asarray(flat, dtype=np.uint64)
+    kinds, ids = np.sort(flat), np.empty(len(flat), dtype=np.int32)
+    kinds = kinds[np.append(True, kinds[1:] != kinds[:-1])[: len(kinds)]]  # np.unique takes more memory
+    for n in range(0, len(flat), 1 << 16):
+        ids[n : n + (1 << 16)] = np.searchsorted(kinds, flat[n : n + (1 << 16)])
     del flat
-    ids, begins = ids.astype(np.int32), np.append(0, np.cumsum(sizes)).astype(np.int64)
 
     def grams_of(own: np.ndarray) -> np.ndarray:
         counts = begins[own + 1] - begins[own]
         return ids[np.repeat(begins[own] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]
 
-    counts = np.zeros((2, len(kinds)))
+    counts = np.zeros((2, len(kinds)), dtype=np.int32)
     for own, label in zip(docs, y, strict=True):
         if len(own):
             counts[int(label), np.unique(grams_of(own))] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
+    wanted = np.flatnonzero((counts[1] > 0) | (counts[0] >= 0.02 * n0))
+    counts = counts[:, wanted]
     p, q, both = counts[1] / n1, counts[0] / n0, (counts.sum(axis=0) + 1) / (n0 + n1 + 2)
     value = (p - q) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0))
-    wanted = np.flatnonzero((counts[1] > 0) | (counts[0] >= 0.02 * n0))
-    chosen = wanted[np.lexsort((kinds[wanted], -value[wanted]))[:features]]
+    chosen = wanted[np.lexsort((kinds[wanted], -value))[:features]]
+    del wanted, counts, p, q, both, value
     hashes = set(kinds[chosen].tolist())
     found = {x for w in index for x in grams(w) if xxhash.xxh64_intdigest(x) in hashes}
     names = sorted(found | {t + "=" for t in terms})
@@ -139,24 +156,27 @@ def fit_model(rows: Iterable[tuple[set[str], int]], features: int = FEATURES, st
         at = int(np.searchsorted(kinds, np.uint64(xxhash.xxh64_intdigest(name))))
         column[at if at < len(kinds) and int(kinds[at]) == xxhash.xxh64_intdigest(name) else len(kinds)] = k
 
-    def matrix(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(names)), dtype=np.float32)
-        for i, words in enumerate(sets):
-            out[i, sorted(blank.features(words))] = 1
-        return out
-
-    x = np.zeros((len(docs), len(names)), dtype=np.float32)
+    neutral = [set(s.format(kind[0]).split()) for kind in IDENTITIES for s in NEUTRAL]
+    own_of = {t: blank.features({t}) for t in terms}
+    x = np.zeros((len(docs) + len(neutral), len(names)), dtype=np.float32)
+    moves = set()
     for i, own in enumerate(docs):
         if len(own):
             at = column[grams_of(own)]
-            x[i, at[at >= 0]] = 1
-    neutral = [set(s.format(kind[0]).split()) for kind in IDENTITIES for s in NEUTRAL]
-    named |= {len(docs) + n: words for n, words in enumerate(neutral)}
-    x = np.concatenate([x, matrix(neutral)])
+            at = at[at >= 0]
+            x[i, at] = 1
+            if i in named:
+                moves.update(swaps(named[i], np.bincount(at, minlength=len(names)), own_of))
+    for i, words in enumerate(neutral, len(docs)):
+        at = np.array([k for w in words for k in blank.features({w})], dtype=np.int64)
+        x[i, at] = 1
+        moves.update(swaps(words, np.bincount(at, minlength=len(names)), own_of))
+    del docs, index, named, kinds, ids, begins, column
     y = np.concatenate([y, np.zeros(len(neutral))])
-    pairs = [(i, other) for i, words in named.items() for other in swaps(words)]
-    change = x[[i for i, _ in pairs]] - matrix([s for _, s in pairs])
-    change = np.unique(change, axis=0) if len(change) else change
+    change = np.zeros((len(moves), len(names)), dtype=np.float32)
+    for i, (gone, come) in enumerate(moves):
+        change[i, gone], change[i, come] = 1, -1
+    change = np.unique(change, axis=0)
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / (y == 0).sum())
@@ -196,8 +216,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE, chars: int = SAMPLE_CHARS, **how) -> Model:
-    rows = labelled(docs, labels, label, id_col, text_col, sample, chars, lambda t: " ".join(sorted(word_set(t))))
-    return fit_model(((set(t.split(" ")) - {""}, k) for t, k in rows), **how)
+    rows = labelled(docs, labels, label, id_col, text_col, sample, chars, lambda t: " ".join(sorted(word_set(t))))[::-1]
+    taken = (rows.pop() for _ in range(len(rows)))  # a text goes when its words are read
+    return fit_model(((set(t.split(" ")) - {""}, k) for t, k in taken), **how)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
