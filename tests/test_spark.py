@@ -130,3 +130,15 @@ def test_closed_pipe_is_success():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run(f"printf abc | {sys.executable} -m textloom -e 'TEXT = WORD'; echo $?", shell=True, cwd=root, capture_output=True, text=True)
     assert done.stdout.split()[-1] == "0"
+
+
+def test_numbers_beyond_64_bits_in_conditions(spark):
+    texts = ["99999999999999999999 5 18446744073709551616 11", "5 9", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for source, wanted in (
+        ("big = n:INT WHERE NUM(n) > 10\nTEXT = 0 TO n big SKIPPING ANY AS COUNT(big)", [3, 0, 0]),
+        ("some = n:INT WHERE NUM(n)\nTEXT = 0 TO n some SKIPPING ANY AS COUNT(some)", [4, 2, 0]),
+        ("v = n:INT AS NUM(n)\nTEXT = v ' ' 0 TO n ANY WHERE v >= 6 AS COUNT(['a'])", [1, None, None]),
+    ):
+        own, other = (rows(compile(source).extract(df, on_error="null", engine=e)) for e in ("native", "kernel"))
+        assert own == other and [x[1] for x in own] == wanted

@@ -9,6 +9,7 @@ possessive (which also keeps the JVM's matcher iterative).  Whatever cannot be p
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -71,8 +72,9 @@ class Emitted:
 
 
 class Lowering:
-    def __init__(self, checker: Checker):
+    def __init__(self, checker: Checker, mode: dict[str, bool] | None = None):
         self.checker = checker
+        self.mode = {"wide": False} if mode is None else mode  # shared with the lowerings inside
         self.groups = 0
         self.active: list[str] = []
         self.guards: list[Callable[[Source], Column]] | None = []
@@ -347,13 +349,13 @@ class Lowering:
             item = own.regex
             inner = self
         else:
-            inner = Lowering(self.checker)
+            inner = Lowering(self.checker, self.mode)
             inner.active = list(self.active)
             inner.guards = None
             own = inner.emit(p.item, then, before | inside, want)
             item = _anonymous(own.regex)
         if p.separator is not None:
-            plain = Lowering(self.checker)
+            plain = Lowering(self.checker, self.mode)
             separator = _anonymous(plain.emit(p.separator, starts, self.last(p.item)).regex)
             low, high = max(p.least - 1, 0), "" if p.most is None else p.most - 1
             regex = f"(?:{guard}{item})(?:{guard}{separator}{item}){{{low},{high}}}+"
@@ -428,7 +430,7 @@ class Lowering:
         else:
             regex = r"[0-9]++(?:\.[0-9]++)?+" if token.kind == "FLOAT" else JAVA[token.kind]
         kind = shapes.PRIMITIVES.get(token.kind, shapes.TEXT) if isinstance(token, s.Primitive) else shapes.TEXT
-        lowering = Lowering(self.checker)
+        lowering = Lowering(self.checker, self.mode)
         lowering.guards = None
 
         def environment(x: Column) -> dict[str, Value]:
@@ -445,7 +447,8 @@ class Lowering:
         def found(src: Source) -> Column:
             out = F.regexp_extract_all(src.column, F.lit(regex), F.lit(0))
             if rule is not None and rule.where is not None:
-                out = F.filter(out, lambda x: lowering.condition(rule.where, environment(x)))
+                with self.wide():
+                    out = F.filter(out, lambda x: lowering.condition(rule.where, environment(x)))
             return out
 
         def value(src: Source) -> Value:
@@ -545,10 +548,21 @@ class Lowering:
         self.guards = guards
         return F.coalesce(made, F.array()), out[0]
 
+    @contextmanager
+    def wide(self):
+        """For conditions: they compare doubles, so whole numbers beyond 64 bits count too, which as values are null."""
+        was, self.mode["wide"] = self.mode["wide"], True
+        try:
+            yield
+        finally:
+            self.mode["wide"] = was
+
     def number(self, column: Column, shape: Shape) -> Column | None:
         """As a double, null where the text is no number; None if the kind never is one."""
         if shape.kind in ("int", "float", "number"):
             return column.cast("double")
+        if shape.kind in ("digits", "decimal"):
+            return column.try_cast("double")
         if shape.kind in shapes.TEXTS:
             text = F.regexp_replace(column, _SPACES, "")
             return F.when(text.rlike(_NUMBER), text.try_cast("double"))
@@ -561,7 +575,7 @@ class Lowering:
             if shape.kind in ("int", "float", "number"):
                 return x, shape
             if shape.kind == "digits":
-                return x.try_cast("bigint"), shapes.INT
+                return (x.try_cast("double"), shapes.FLOAT) if self.mode["wide"] else (x.try_cast("bigint"), shapes.INT)
             if shape.kind == "decimal":
                 return x.try_cast("double"), shapes.FLOAT
             raise Cannot("NUM of text that may be no number, or a whole one")
@@ -682,7 +696,10 @@ def lower(checker: Checker, rule: s.Rule | None = None) -> Lowered:
         out = F.lit(True)
         for g in low.guards or ():
             out = out & g(Source(column, regex))
-        return out if rule.where is None else out & low.condition(rule.where, environment(column))
+        if rule.where is None:
+            return out
+        with low.wide():
+            return out & low.condition(rule.where, environment(column))
 
     shape = value(F.col("text"))[1]
     holds(F.col("text"))
