@@ -142,3 +142,22 @@ def test_numbers_beyond_64_bits_in_conditions(spark):
     ):
         own, other = (rows(compile(source).extract(df, on_error="null", engine=e)) for e in ("native", "kernel"))
         assert own == other and [x[1] for x in own] == wanted
+
+
+def test_kernel_rows_of_one_split_are_shared_among_tasks(spark):
+    df = spark.range(400).selectExpr("id i", "concat('Customer#', lpad(cast(id as string), 9, '0')) text").coalesce(1)
+    query = compile("TEXT = WORD '#' a:(1 TO n DIGIT) b:(1 TO n DIGIT) WHERE b = '1' OR b = '77' AS { 'a': a, 'b': b }")
+    got = query.extract(df, on_error="drop")
+    tasks = [len(rows) for rows in got.rdd.glom().collect()]
+    assert len([n for n in tasks if n]) >= 8 and sum(tasks) == len([i for i in range(400) if str(i)[-1] == "1" or f"{i:09}"[-2:] == "77"])
+    assert {r.value.a + r.value.b for r in got.collect()} == {f"{i:09}" for i in range(400) if i % 10 == 1 or i % 100 == 77}
+    again = compile("TEXT = WORD").extract(query.extract(df, on_error="null"), on_error="null", engine="kernel")  # spread once
+    assert str(again._jdf.queryExecution().optimizedPlan()).count("Repartition") == 1
+
+
+def test_repeated_characters_are_one_step():
+    query = compile("TEXT = WORD '#' a:(1 TO n DIGIT) b:(1 TO n DIGIT) WHERE b = '1' OR b = '77'")
+    out = query.run("Customer#" + "0" * 40 + "77")
+    assert out.value == {"a": "0" * 40, "b": "77"} and out.steps < 700  # each end of each repetition explored: above 1,000
+    assert [a.advice for a in out.ambiguities] == [] and query.run("C#11").value == {"a": "1", "b": "1"}
+    assert compile("TEXT = 0 TO 2 LAZY a:DIGIT b:(1 TO 3 LAZY DIGIT) 0 TO n c:DIGIT").run("12345").value == {"a": [], "b": "1", "c": ["2", "3", "4", "5"]}

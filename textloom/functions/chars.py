@@ -151,6 +151,15 @@ MATCH: dict[str, Callable[[Text, int], int | None]] = {
 }
 
 
+#: Token patterns of one character each (with its marks), as regular expressions.
+CHARACTERS = {"ANY": "(?s:.)", "DIGIT": "[0-9]", "LETTER": _LETTER.pattern, "PUNCT": _PUNCT.pattern, "TAB": r"\t"}
+
+
+def repeated(kind: str, least: int, most: int | None) -> Callable[[Text, int], int | None]:
+    """The end of as many such characters as there are from a position on."""
+    return _by(regex.compile(f"(?:{CHARACTERS[kind]}){{{least},{'' if most is None else most}}}+"))
+
+
 def literal(text: str, any_case: bool) -> Callable[[Text, int], int | None]:
     if not any_case:
         return lambda t, i: i + len(text) if t.text.startswith(text, i) else None

@@ -22,6 +22,9 @@ ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("mess
 AMBIGUITY = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("rule", "chosen_value", "alternative_value", "failure", "advice")] + [T.StructField(n, T.LongType()) for n in ("start", "end", "other_start", "other_end")]))
 REPEATED = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
+#: Tasks of the kernel for each core.
+SPREAD = 4
+
 
 def conform(value, shape: shapes.Shape):
     """The value as its Spark type wants it; whole numbers beyond 64 bits are null."""
@@ -145,6 +148,11 @@ class Query:
         source, checked, shape, place = self.source, self.checked, self.shape, kept.columns.index(column)
         kinds = [to_arrow_type(f.dataType) for f in added]
 
+        if not diagnostics and not options.get("strict") and not any(r.strict for r in self.tree.rules):
+            options = options | {"check_ambiguity": False}  # nobody would see what it finds
+        if getattr(df, "_textloom_spread", None) is not True:  # rows are costly here and small on disk: one input split can hold them all
+            kept = kept.repartition(SPREAD * df.sparkSession.sparkContext.defaultParallelism)
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query = Query(source, checked)
             for batch in batches:
@@ -174,7 +182,9 @@ class Query:
         error = F.col(f"{output}_error")
         if on_error == "drop":
             out = out.where(error.isNull() & F.col(column).isNotNull()) if column in out.columns else out.where(error.isNull())
-        return out if on_error == "null" else out.drop(f"{output}_error")
+        out = out if on_error == "null" else out.drop(f"{output}_error")
+        out._textloom_spread = True
+        return out
 
     # ---- lines
 
