@@ -9,6 +9,7 @@ import pytest
 
 from textloom import compile
 from textloom.__main__ import main
+from textloom.operators.extract import remembered
 from textloom.operators.sql import register
 from textloom.plans import native
 from textloom.sources import text as sources
@@ -161,3 +162,16 @@ def test_repeated_characters_are_one_step():
     assert out.value == {"a": "0" * 40, "b": "77"} and out.steps < 700  # each end of each repetition explored: above 1,000
     assert [a.advice for a in out.ambiguities] == [] and query.run("C#11").value == {"a": "1", "b": "1"}
     assert compile("TEXT = 0 TO 2 LAZY a:DIGIT b:(1 TO 3 LAZY DIGIT) 0 TO n c:DIGIT").run("12345").value == {"a": [], "b": "1", "c": ["2", "3", "4", "5"]}
+
+
+def test_a_text_that_comes_again_is_read_once(spark):
+    read: list = []
+    get = remembered(lambda x: read.append(x) or [x], 400)
+    assert [get(x) for x in ["a", "b", "a", "b", "long" * 10, "long" * 10]] == [[x] for x in ["a", "b", "a", "b", "long" * 10, "long" * 10]]
+    assert read == ["a", "b", "long" * 10, "long" * 10]
+    assert all(get(str(n)) == [str(n)] for n in range(100)) and get("a") == ["a"] and read.count("a") == 2  # few are kept
+    texts = ["red widget", "small blue gear", "x", None, "9"] * 100
+    query = compile("TEXT = a:WORD 0 TO 1 (' ' b:WORD) 0 TO 1 (' ' c:WORD) WHERE c")
+    got = query.extract(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), on_error="null").orderBy("i").collect()
+    assert [r.value and tuple(r.value) for r in got] == [("red", None, "widget"), ("small", "blue", "gear"), None, None, None] * 100
+    assert [r.value_error and r.value_error.code for r in got] == [None, None, "loom::input::no_parse", None, "loom::input::no_parse"] * 100

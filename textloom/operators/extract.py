@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,8 +22,8 @@ ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("mess
 AMBIGUITY = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("rule", "chosen_value", "alternative_value", "failure", "advice")] + [T.StructField(n, T.LongType()) for n in ("start", "end", "other_start", "other_end")]))
 REPEATED = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
-#: Tasks of the kernel for each core.
-SPREAD = 4
+#: Tasks of the kernel for each core; characters of texts whose results a task keeps, for texts that come again.
+SPREAD, REMEMBERED = 4, 100_000
 
 
 def conform(value, shape: shapes.Shape):
@@ -43,6 +43,26 @@ def conform(value, shape: shapes.Shape):
     return value
 
 
+def remembered(read: Callable[[str], list], most: int = REMEMBERED) -> Callable[[str], list]:
+    """``read`` with the results of the last texts kept, of some ``most`` characters in all; long texts are read each time."""
+    known, room = {}, most
+
+    def get(text: str) -> list:
+        nonlocal room
+        row = known.get(text)
+        if row is None:
+            row = read(text)
+            if len(text) <= most // 16:
+                room -= len(text) + 16
+                if room < 0:
+                    known.clear()
+                    room = most
+                known[text] = row
+        return row
+
+    return get
+
+
 class Query:
     """A compiled query.  Immutable; it can be shared between threads and shipped to executors."""
 
@@ -155,25 +175,29 @@ class Query:
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query = Query(source, checked)
+
+            def read(text: str) -> list:
+                row = [None] * len(added)
+                try:
+                    out = query.run(text, **options)
+                except RunError as error:
+                    if on_error == "fail":
+                        raise
+                    p = error.problems[0]
+                    row[1] = {"code": p.code, "message": p.message, "start": p.start, "end": p.end}
+                    return row
+                row[0] = conform(out.value, shape) if typed else to_json(out.value)
+                if diagnostics:
+                    row[2] = [{"rule": a.rule, "chosen_value": a.chosen_value, "alternative_value": a.alternative_value, "failure": a.failure, "advice": a.advice, "start": a.chosen[0], "end": a.chosen[1], "other_start": a.alternative[0], "other_end": a.alternative[1]} for a in out.ambiguities]
+                    row[3] = [{"key": k.key, "start": k.matched[0], "end": k.matched[1]} for k in out.repeated_keys]
+                    row[4], row[5] = out.ambiguity_check_complete, out.steps
+                return row
+
+            nothing, known = [None] * len(added), remembered(read)
             for batch in batches:
                 columns: list[list] = [[] for _ in added]
                 for text in batch.column(place).to_pylist():
-                    row = [None] * len(added)
-                    if text is not None:
-                        try:
-                            out = query.run(text, **options)
-                        except RunError as error:
-                            if on_error == "fail":
-                                raise
-                            p = error.problems[0]
-                            row[1] = {"code": p.code, "message": p.message, "start": p.start, "end": p.end}
-                        else:
-                            row[0] = conform(out.value, shape) if typed else to_json(out.value)
-                            if diagnostics:
-                                row[2] = [{"rule": a.rule, "chosen_value": a.chosen_value, "alternative_value": a.alternative_value, "failure": a.failure, "advice": a.advice, "start": a.chosen[0], "end": a.chosen[1], "other_start": a.alternative[0], "other_end": a.alternative[1]} for a in out.ambiguities]
-                                row[3] = [{"key": k.key, "start": k.matched[0], "end": k.matched[1]} for k in out.repeated_keys]
-                                row[4], row[5] = out.ambiguity_check_complete, out.steps
-                    for values, x in zip(columns, row, strict=True):
+                    for values, x in zip(columns, nothing if text is None else known(text), strict=True):
                         values.append(x)
                 own = [batch.column(batch.schema.get_field_index(c)) for c in given]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], names=schema.names)
