@@ -175,3 +175,14 @@ def test_a_text_that_comes_again_is_read_once(spark):
     got = query.extract(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), on_error="null").orderBy("i").collect()
     assert [r.value and tuple(r.value) for r in got] == [("red", None, "widget"), ("small", "blue", "gear"), None, None, None] * 100
     assert [r.value_error and r.value_error.code for r in got] == [None, None, "loom::input::no_parse", None, "loom::input::no_parse"] * 100
+
+
+@pytest.mark.parametrize("source", ["TEXT = 0 TO n w:WORD SKIPPING ANY AS COUNT(w)", "TEXT = 1 TO n w:WORD SKIPPING ANY AS { 'first': FIRST(w), 'last': LAST(w) }"])
+def test_a_search_tries_each_character_once(spark, source):
+    texts = ["éa b", "́x", "a" + "́" * 40 + "b c", "1a‍b2 \U0001d49c", " 9 ", "", "x\ny\r\nz"]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string")
+    query = compile(source)
+    own, other = (rows(query.extract(df, on_error="null", engine=e)) for e in ("native", "kernel"))
+    assert own == other
+    plan = str(query.extract(df, on_error="drop")._jdf.queryExecution().optimizedPlan())
+    assert "(?<!" not in plan and "(?s:.)" not in plan and "lambda" not in plan

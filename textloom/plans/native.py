@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.chars import JAVA, java_literal
+from ..functions.chars import JAVA, MARKS, java_literal
 from . import shapes
 from . import syntax as s
 from .checks import Checker
@@ -40,6 +40,9 @@ _FIRST = {
 }
 _LAST = _FIRST | {"WORD": _LETTERS | {"mark"}, "LETTER": _LETTERS | {"mark"}}
 _TOKENS = ("WORD", "INT", "FLOAT", "LETTER", "DIGIT", "PUNCT", "IPV4", "HEX", "BIN", "TAB", "NL")
+#: Any text; and tokens as a search finds them, which takes each as long as it is, so that none begins inside another.
+ALL = r"(?s:.)*+"
+FOUND = {"WORD": rf"\p{{IsAlphabetic}}[\p{{IsAlphabetic}}{MARKS}]*+", "INT": "[0-9]++", "FLOAT": r"[0-9]++(?:\.[0-9]++)?+"}
 _NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _SPACES = r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z"
 
@@ -428,7 +431,7 @@ class Lowering:
             if rule is not None and rule.where is not None:
                 raise Cannot("another match can begin inside a rejected one")
         else:
-            regex = r"[0-9]++(?:\.[0-9]++)?+" if token.kind == "FLOAT" else JAVA[token.kind]
+            regex = FOUND.get(token.kind) or JAVA[token.kind]
         kind = shapes.PRIMITIVES.get(token.kind, shapes.TEXT) if isinstance(token, s.Primitive) else shapes.TEXT
         lowering = Lowering(self.checker, self.mode)
         lowering.guards = None
@@ -452,6 +455,8 @@ class Lowering:
             return out
 
         def value(src: Source) -> Value:
+            if rule is None:
+                return found(src), shapes.array(kind)
             shape: list[Shape] = []
 
             def one(x: Column) -> Column:
@@ -467,8 +472,11 @@ class Lowering:
         if self.guards is None:
             raise Cannot("a search inside a repetition")
         if p.least > 0:
-            self.guards.append(lambda src: F.size(found(src)) >= p.least)
-        return Emitted(r"(?s:.)*+", {label: value} if label else {}, value)
+            if p.least == 1 and (rule is None or rule.where is None):
+                self.guards.append(lambda src: src.column.rlike(regex))
+            else:
+                self.guards.append(lambda src: F.size(found(src)) >= p.least)
+        return Emitted(ALL, {label: value} if label else {}, value)
 
     # ---- templates and conditions
 
@@ -704,4 +712,5 @@ def lower(checker: Checker, rule: s.Rule | None = None) -> Lowered:
     shape = value(F.col("text"))[1]
     holds(F.col("text"))
     plain = _anonymous(regex)
-    return Lowered(regex, lambda c: c.rlike(plain), holds, lambda c: value(c)[0], shape)
+    matches = (lambda c: F.when(c.isNotNull(), F.lit(True))) if own.regex == ALL else (lambda c: c.rlike(plain))
+    return Lowered(regex, matches, holds, lambda c: value(c)[0], shape)
