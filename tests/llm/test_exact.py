@@ -358,3 +358,10 @@ def test_vectors_of_a_large_group(spark):
         got = embed_dedup.links(df, **how).orderBy("id").collect()
         assert [r.n_links for r in got] == wanted
         assert {r.component_id for r in got[: n // 3]} == {0}
+
+
+def test_second_run_reads_texts_only_to_scan_them(spark):
+    from textloom.llm.entries import secrets_second_run
+
+    plan = str(secrets_second_run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    assert "tolkien" not in plan and "text#" not in plan  # blobs of all versions were computed anew in the result, twice

@@ -30,9 +30,8 @@ def secrets_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = versions.select(F.struct("doc_id", "version").alias("path"), "text")
     found = secrets.findings(versions, ledger, "path", rules=CHANGED)
     ledger.forget()
-    counts = secrets.digest(found, "path", CHANGED)
-    pairs = found.select("path", "blob").join(before.withColumn("old", F.lit(1)), "blob", "left").select("path", F.when(F.col("old").isNull(), len(CHANGED)).otherwise(1).alias("pairs"))
-    return counts.join(pairs, "path").select("path.doc_id", "path.version", "n_assign", "n_access", "n_hex", "pairs")
+    pairs = found.join(before.withColumn("old", F.lit(1)), "blob", "left").withColumn("pairs", F.when(F.col("old").isNull(), len(CHANGED)).otherwise(1))
+    return secrets.digest(pairs, "path", CHANGED, ("pairs",)).select("path.doc_id", "path.version", "n_assign", "n_access", "n_hex", "pairs")
 
 
 #: The rules with a changed one: values of eight characters or more.
